@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_simhash": simhash.op3_simhash,
 }
 
 #: SQL where it can express the query.
