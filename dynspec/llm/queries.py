@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import simhash, warc
+from . import decontaminate, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_secrets": secrets.op2_secrets,
     "op3_simhash": simhash.op3_simhash,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op10_quality": quality.op10_quality,
 }
 
 #: SQL where it can express the query.
 ORACLE = {
     "op1_warc": warc.OP1_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
 }
