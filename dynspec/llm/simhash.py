@@ -35,21 +35,32 @@ SEED = 42
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The signed 64-bit fingerprint of one text."""
-    # bytes.split() splits at exactly \\x20 and \\x09-\\x0D, and bytes.lower() changes A-Z alone.
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
+    # bytes.split() splits at exactly \x20 and \x09-\x0D, and bytes.lower() changes A-Z alone.
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(found) - words + 1)
     line, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found])
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(words, len(found)) - 1 :] - 1).tolist()
-    digest, tally = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK], strict=True)], dtype=">u8")
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """8 bytes, the highest first: a bit is set if more than half of the hashes have it."""
+    tally = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        h = hashes[at : at + CHUNK].astype(">u8")
         tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * tally > n).tobytes(), "big", signed=True)
+    return np.packbits(2 * tally > len(hashes)).tobytes()
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The signed 64-bit fingerprint of one text; zero without words."""
+    return int.from_bytes(majority(shingle_hashes(text, words)), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
