@@ -11,9 +11,57 @@ DM_CONSTANT = 4.148808e3  # s MHz^2 / (pc cm^-3)
 LIGHT_SPEED = 299792458.0
 
 # Codes of the filterbank file format.
-TELESCOPES = {"Fake": 0, "Arecibo": 1, "Ooty": 2, "Nancay": 3, "Parkes": 4, "Jodrell": 5, "GBT": 6, "GMRT": 7, "Effelsberg": 8, "ATA": 9, "SRT": 10, "LOFAR": 11, "VLA": 12}
-MACHINES = {"FAKE": 0, "PSPM": 1, "WAPP": 2, "AOFTM": 3, "BPP": 4, "OOTY": 5, "SCAMP": 6, "GBT Pulsar Spigot": 7, "SPIGOT": 7, "BG/P": 11, "PDEV": 12, "GUPPI": 14}
-DATA_TYPES = {"filterbank": 1, "time series": 2, "power spectrum": 3, "complex": 5, "dedispersed subbands": 6}
+TELESCOPES = {
+    "Fake": 0,
+    "Arecibo": 1,
+    "Ooty": 2,
+    "Nancay": 3,
+    "Parkes": 4,
+    "Jodrell": 5,
+    "GBT": 6,
+    "GMRT": 7,
+    "Effelsberg": 8,
+    "Effelsberg LOFAR": 9,
+    "SRT": 10,
+    "LOFAR": 11,
+    "VLA": 12,
+    "CHIME": 20,
+    "MWA": 30,
+    "MeerKAT": 64,
+    "NC": 40,
+    "NGNC": 41,
+}
+MACHINES = {
+    "FAKE": 0,
+    "PSPM": 1,
+    "WAPP": 2,
+    "AOFTM": 3,
+    "BPP": 4,
+    "OOTY": 5,
+    "SCAMP": 6,
+    "GMRTFB": 7,
+    "PULSAR2000": 8,
+    "PARSPEC": 9,
+    "BPSR": 10,
+    "COBALT": 11,
+    "GMRTNEW": 14,
+    "CHIME": 20,
+    "MWA-VCS": 30,
+    "MWAX-VCS": 31,
+    "MWAX-RTB": 32,
+    "ADU": 40,
+    "iTPM": 41,
+}
+DATA_TYPES = {
+    "raw data": 0,
+    "filterbank": 1,
+    "time series": 2,
+    "pulse profiles": 3,
+    "amplitude spectrum": 4,
+    "complex spectrum": 5,
+    "dedispersed subbands": 6,
+    "PSRFITS": 10,
+}
 
 
 def name_of(codes: dict[str, int], code: int, default: str) -> str:
