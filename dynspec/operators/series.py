@@ -106,7 +106,7 @@ def pad(series: DataFrame, nsamples: int, total: int, method: str = "mean", offs
     if method not in fill or total < nsamples + offset:
         raise ValueError("the method must be mean, median or zero and the total hold the series")
     level = series.groupBy("obs_id").agg((fill[method] if method != "zero" else F.max(F.lit(0.0))).alias("fill"))
-    grid = level.select("obs_id", "fill", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).cast("long").alias("t"))
+    grid = level.select("obs_id", "fill", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))).alias("t"))
     return grid.join(series.withColumn("t", F.col("t") + offset), ["obs_id", "t"], "left").select("obs_id", "t", F.coalesce("v", "fill").alias("v"))
 
 
@@ -130,16 +130,17 @@ def resample(series: DataFrame, header: ObsHeader, accel: float) -> DataFrame:
 def correlate(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(obs_id, lag, v)``: the full cross-correlation, a pair of series at a time, by transforms."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y = (p.sort_values("t")["v"].to_numpy(float) for p in (left, right))
-        if not len(x) or not len(y):
-            return pd.DataFrame({"obs_id": [], "lag": [], "v": []}).astype({"obs_id": str, "lag": "int64", "v": float})
-        n = len(x) + len(y) - 1
+    both = a.select("obs_id", "t", "v", F.lit(0).alias("side")).unionAll(b.select("obs_id", "t", "v", F.lit(1).alias("side")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x, y = (pdf.loc[pdf["side"] == i, "v"].to_numpy(float) for i in (0, 1))
+        n = len(x) + len(y) - 1 if len(x) and len(y) else 0
         size = good_size(n)
-        full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y[::-1], size), size)[:n]
-        return pd.DataFrame({"obs_id": left["obs_id"].iloc[0], "lag": np.arange(n) - (len(y) - 1), "v": full})
+        full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y[::-1], size), size)[:n] if n else np.zeros(0)
+        return pd.DataFrame({"obs_id": pdf["obs_id"].iloc[0], "lag": np.arange(n) - (len(y) - 1), "v": full})
 
-    return a.groupBy("obs_id").cogroup(b.groupBy("obs_id")).applyInPandas(run, "obs_id string, lag long, v double")
+    return both.groupBy("obs_id").applyInPandas(run, "obs_id string, lag long, v double")
 
 
 def rfft(series: DataFrame, size: int | None = None, transform: Callable[[np.ndarray], np.ndarray] = np.fft.rfft) -> DataFrame:

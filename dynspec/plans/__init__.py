@@ -1 +1 @@
-
+"""Chains of operators."""

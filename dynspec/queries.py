@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .meta import DM_CONSTANT, LIGHT_SPEED, ObsHeader, width_ladder
+from .meta import DM_CONSTANT, LIGHT_SPEED, ObsHeader, good_size, width_ladder
 from .model import SYNTHETIC, embeddings_spectra, events_series, explode_spectra
 from .operators import filterbank as fbk
 from .operators import folded, matched, rfi, robust, series, spectrum
@@ -82,7 +82,7 @@ def bandpass_mean(s, h):
 
 
 STATS = f"""{FB}, m AS (SELECT c, avg(v) AS m, var_pop(v) AS s2, count(*) AS n, min(v) AS lo, max(v) AS hi FROM fb GROUP BY c),
-st AS (SELECT c, n, m AS mean, s2 AS var, avg((v - m) ** 3) / s2 ** 1.5 AS skew, avg((v - m) ** 4) / s2 ** 2 - 3 AS kurt, lo AS min, hi AS max FROM fb JOIN m USING (c) GROUP BY ALL)"""
+st AS (SELECT c, any_value(n) AS n, any_value(m) AS mean, any_value(s2) AS var, avg((v - m) ** 3) / any_value(s2) ** 1.5 AS skew, avg((v - m) ** 4) / any_value(s2) ** 2 - 3 AS kurt, any_value(lo) AS min, any_value(hi) AS max FROM fb JOIN m USING (c) GROUP BY c)"""
 
 
 @query(f"WITH {STATS} SELECT c, n, {', '.join(r(x) for x in ('mean', 'var', 'skew', 'kurt', 'min', 'max'))} FROM st")
@@ -447,19 +447,27 @@ def ts_resample_accel(s, h):
     return series.resample(summed(s), h, ACCEL)
 
 
-@query(f"WITH {TS}, o AS (SELECT t, v FROM fb WHERE c = 5 AND t < 40) SELECT s.t - o.t AS lag, {r('sum(s.v * o.v)', 'v')} FROM s, o GROUP BY 1")
+@query(f"WITH {TS}, o AS (SELECT t, v FROM fb WHERE c = 5) SELECT s.t - o.t AS lag, {r('sum(s.v * o.v)', 'v')} FROM s, o GROUP BY 1")
 def ts_correlate(s, h):
-    return series.correlate(summed(s), fbk.read_chan(s, h, 5).where("t < 40"))
+    return series.correlate(summed(s), fbk.read_chan(s, h, 5))
 
 
-# Spectra.
+# Spectra, of the series filled with zeros to the next length without prime factors above 5.
 
-SIZE = 250
-DFT = f"{TS}, u AS (SELECT t, v FROM s WHERE t < {SIZE}), ks AS (SELECT unnest(range(0, {SIZE // 2 + 1})) AS k), ft AS (SELECT k, sum(v * cos(2 * pi() * ((k * t) % {SIZE}) / {SIZE})) AS re, -sum(v * sin(2 * pi() * ((k * t) % {SIZE}) / {SIZE})) AS im FROM u, ks GROUP BY k)"
+SIZE = "z AS (SELECT min(2.0 ** a * 3.0 ** b * 5.0 ** c)::BIGINT AS z FROM range(0, 24) x(a), range(0, 15) y(b), range(0, 11) w(c), h WHERE 2 ** a * 3 ** b * 5 ** c >= n), kk AS (SELECT z, z // 2 + 1 AS bins FROM z)"
+DFT = f"{TS}, {SIZE}, ks AS (SELECT unnest(range(0, bins)) AS k, z FROM kk), ft AS (SELECT k, sum(v * cos(2 * pi() * ((k * t) % z) / z)) AS re, -sum(v * sin(2 * pi() * ((k * t) % z) / z)) AS im FROM s, ks GROUP BY k)"
 
 
 def transformed(s: DataFrame) -> DataFrame:
-    return series.rfft(summed(s).where(F.col("t") < SIZE))
+    return series.rfft(summed(s))
+
+
+def padded(h: ObsHeader) -> ObsHeader:
+    return h.updated(nsamples=good_size(h.nsamples))
+
+
+def bins_of(h: ObsHeader) -> int:
+    return good_size(h.nsamples) // 2 + 1
 
 
 @query(f"WITH {DFT} SELECT k, {r('re')}, {r('im')} FROM ft")
@@ -477,9 +485,9 @@ def form_spec_interp(s, h):
     return spectrum.form_spec(transformed(s), True)
 
 
-@query(f"WITH {TS} SELECT t, {r('v')} FROM s WHERE t < {SIZE}")
+@query(f"WITH {TS}, {SIZE}, g AS (SELECT unnest(range(0, z)) AS t FROM z) SELECT g.t, {r('coalesce(s.v, 0.0)', 'v')} FROM g LEFT JOIN s USING (t)")
 def ifft_round_trip(s, h):
-    return spectrum.ifft(transformed(s), SIZE)
+    return spectrum.ifft(transformed(s), padded(h).nsamples)
 
 
 @query(f"WITH {DFT} SELECT k, {r('re * re - im * im', 're')}, {r('2 * re * im', 'im')} FROM ft")
@@ -488,30 +496,29 @@ def fourier_multiply(s, h):
     return spectrum.multiply(f, f)
 
 
-KS = SIZE // 2 + 1
-TERMS = [(f, i, j) for f in range(3) for i, j in spectrum.harmonic_terms(KS, f)]
-
-
-@query(f"WITH {DFT}, p AS (SELECT k, sqrt(re * re + im * im) AS p FROM ft), tm(f, i, j) AS (VALUES {', '.join(map(str, TERMS))}), a AS (SELECT f, i, sum(p) AS q FROM tm JOIN p ON p.k = j GROUP BY 1, 2) SELECT nf::INT AS nfold, p.k, {r('any_value(p.p) + coalesce(sum(q), 0)', 'p')} FROM p CROSS JOIN (SELECT unnest(range(0, 4)) AS nf) LEFT JOIN a ON a.i = p.k AND a.f < nf GROUP BY 1, 2")
+@query(f"""WITH {DFT}, p AS (SELECT k, sqrt(re * re + im * im) AS p FROM ft), fo AS (SELECT f, (2 ** (f + 1))::BIGINT AS nh FROM range(0, 3) t(f)),
+tm AS (SELECT f, k AS i, (m + nh // 2) // nh + m * ((k - 1) // nh) + m * ((k - 1) % nh) // nh AS j FROM fo, p, kk, range(1, 8, 2) o(m) WHERE m < nh AND k BETWEEN 1 AND (bins - 1) // nh * nh),
+a AS (SELECT f, i, sum(p) AS q FROM tm JOIN p ON p.k = j GROUP BY 1, 2)
+SELECT nf::INT AS nfold, p.k, {r('any_value(p.p) + coalesce(sum(q), 0)', 'p')} FROM p CROSS JOIN range(0, 4) n(nf) LEFT JOIN a ON a.i = p.k AND a.f < nf GROUP BY 1, 2""")
 def harmonic_fold(s, h):
-    return spectrum.harmonic_fold(spectrum.form_spec(transformed(s)), KS, 3)
-
-
-RED = spectrum.deredden_blocks(KS, SIZE * 0.001, 6, 100, 60.0)
+    return spectrum.harmonic_fold(spectrum.form_spec(transformed(s)), bins_of(h), 3)
 
 
-@query(f"""WITH {DFT}, bl(b, f, n) AS (VALUES {', '.join(str((i, a, n)) for i, (a, n) in enumerate(RED))}), x AS (SELECT b, f, n, k, re, im, re * re + im * im AS w FROM ft JOIN bl ON k BETWEEN f AND f + n - 1),
+@query(f"""WITH RECURSIVE {DFT}, bl AS (SELECT 0 AS b, 1::BIGINT AS f, least(6, bins - 1)::BIGINT AS n, bins, z FROM kk UNION ALL
+SELECT b + 1, f + n, least(bins - f - n, CASE WHEN b = 0 OR f + n < round_even(60 * 0.001 * z, 0) THEN greatest(1, round_even(6 * ln(f + n), 0)) ELSE 100 END)::BIGINT, bins, z FROM bl WHERE f + n < bins),
+x AS (SELECT b, f, n, k, re, im, re * re + im * im AS w FROM ft JOIN bl ON k BETWEEN f AND f + n - 1),
 m AS (SELECT b, n, median(w) / {math.log(2)!r} AS m FROM x GROUP BY b, n), y AS (SELECT b, m AS m0, n AS n0, lead(m) OVER (ORDER BY b) AS m1, lead(n) OVER (ORDER BY b) AS n1 FROM m),
-z AS (SELECT k, re, im, 1 / sqrt(m0 + coalesce((m1 - m0) / (n0 + n1) * ((n0 + n1) / 2.0 - (k - f)), 0)) AS g FROM x JOIN y USING (b))
-SELECT k, {r('re * g', 're')}, {r('im * g', 'im')} FROM z UNION ALL SELECT 0, 1.0, 0.0""")
+g AS (SELECT k, re, im, 1 / sqrt(m0 + coalesce((m1 - m0) / (n0 + n1) * ((n0 + n1) / 2.0 - (k - f)), 0)) AS g FROM x JOIN y USING (b))
+SELECT k, {r('re * g', 're')}, {r('im * g', 'im')} FROM g UNION ALL SELECT 0, 1.0, 0.0""")
 def fourier_deredden(s, h):
-    return spectrum.deredden(transformed(s), h.updated(nsamples=SIZE), KS, 6, 100, 60.0)
+    return spectrum.deredden(transformed(s), padded(h), bins_of(h), 6, 100, 60.0)
 
 
-@query(f"WITH {DFT} SELECT k, {r('k / 0.25', 'freq')}, {r('0.25 / nullif(k, 0)', 'period')}, round_even(k / 0.25 * 0.25, 0)::BIGINT AS bin FROM ft")
+@query(f"WITH {DFT} SELECT k, {r('k / (0.001 * z)', 'freq')}, {r('0.001 * z / nullif(k, 0)', 'period')}, k AS bin FROM ft, z")
 def bin_conversions(s, h):
-    f = C.bin_to_freq(F.col("k"), 0.25)
-    return transformed(s).select("k", f.alias("freq"), C.bin_to_period(F.col("k"), 0.25).alias("period"), C.freq_to_bin(f, 0.25).alias("bin"))
+    tobs = padded(h).tobs
+    f = C.bin_to_freq(F.col("k"), tobs)
+    return transformed(s).select("k", f.alias("freq"), C.bin_to_period(F.col("k"), tobs).alias("period"), C.freq_to_bin(f, tobs).alias("bin"))
 
 
 @query(f"WITH {DFT}, p AS (SELECT k, sqrt(re * re + im * im) AS p FROM ft) SELECT 0 AS nfold, k, {r('p')}, row_number() OVER (ORDER BY p DESC, k)::INT AS r FROM p QUALIFY r <= 10")
@@ -521,7 +528,7 @@ def spectrum_top(s, h):
 
 @query()
 def recon_profile(s, h):
-    return spectrum.recon_prof(transformed(s), h.updated(nsamples=SIZE), 12.0, 8)
+    return spectrum.recon_prof(transformed(s), padded(h), 12.0, 8)
 
 
 # Pulses.

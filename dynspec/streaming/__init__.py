@@ -1 +1 @@
-
+"""Streams of samples and events."""
