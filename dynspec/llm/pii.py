@@ -96,3 +96,38 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("iban").cast("long").alias("n_iban"),
         _joined(tuple(KINDS), "cast(x.score AS string)").alias("scores"),
     )
+
+
+def _sql_confirmed(kind: str) -> str:
+    digits = "regexp_replace(h, '[^0-9]', '', 'g')"
+    if kind == "ip":
+        return "len(list_filter(string_split(h, '.'), lambda p: length(ltrim(p, '0')) > 3 OR ('0' || right(ltrim(p, '0'), 3))::INT > 255)) = 0"
+    if kind == "card":
+        twice = f"substr(reverse({digits}), i, 1)::INT * 2"
+        luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({digits}), i, 1)::INT WHEN {twice} > 9 THEN {twice} - 9 ELSE {twice} END)) % 10 = 0"
+        return f"length({digits}) BETWEEN 16 AND 19 AND {luhn}"
+    if kind == "phone":
+        return f"length({digits}) BETWEEN 8 AND 15"
+    if kind == "iban":
+        bare = "replace(h, ' ', '')"
+        turned = f"(substr({bare}, 5) || left({bare}, 4))"
+        value = f"list_transform(range(1, length({turned}) + 1), lambda i: CASE WHEN ascii(substr({turned}, i, 1)) < 58 THEN ascii(substr({turned}, i, 1)) - 48 ELSE ascii(substr({turned}, i, 1)) - 55 END)"
+        return f"length({bare}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, {value}), lambda a, b: CASE WHEN b < 10 THEN a * 10 + b ELSE a * 100 + b END % 97) = 1"
+    return "true"
+
+
+def _op9_sql() -> str:
+    parts = ["d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"]
+    for kind, (_, found, score, words) in KINDS.items():
+        parts += [
+            f"a_{kind} AS (SELECT r, unnest(regexp_extract_all(text, '{found}')) AS h, unnest(regexp_split_to_array(text, '{found}')) AS g, unnest(range(1, len(regexp_split_to_array(text, '{found}')) + 1)) AS i FROM d)",
+            f"b_{kind} AS (SELECT r, h, sum(length(g) + length(h)) OVER (PARTITION BY r ORDER BY i) AS stop, lower(right(g, {BEFORE}) || '|' || left(lead(g) OVER (PARTITION BY r ORDER BY i), {AFTER})) AS near FROM a_{kind})",
+            f"c_{kind} AS (SELECT r, count(*) AS n, string_agg('{kind}:' || (stop - length(h))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop) AS p, string_agg(({score} + CASE WHEN regexp_matches(near, '{words}') THEN {RAISE} ELSE 0 END)::VARCHAR, ',' ORDER BY stop) AS s FROM b_{kind} WHERE h IS NOT NULL AND {_sql_confirmed(kind)} GROUP BY r)",
+        ]
+    joined = lambda what, kinds: f"concat_ws(',', {', '.join(f'c_{k}.{what}' for k in kinds)})"
+    counts = ", ".join(f"coalesce(c_{k}.n, 0)::BIGINT AS n_{k}" for k in KINDS)
+    tables = " ".join(f"LEFT JOIN c_{k} ON c_{k}.r = d.r" for k in KINDS)
+    return f"WITH {', '.join(parts)} SELECT doc_id, {counts}, sha256({joined('p', BASE)}) AS base_sha256, {joined('p', KINDS)} AS spans, {joined('s', KINDS)} AS scores FROM d {tables}"
+
+
+OP9_SQL = _op9_sql()

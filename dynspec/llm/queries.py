@@ -23,4 +23,5 @@ ORACLE = {
     "op4_line_dedup": linededup.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op9_pii": pii.OP9_SQL,
 }
