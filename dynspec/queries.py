@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .meta import DM_CONSTANT, LIGHT_SPEED, ObsHeader, good_size, width_ladder
-from .model import SYNTHETIC, embeddings_spectra, events_series, explode_spectra
+from .model import SYNTHETIC, embeddings_spectra, events_series, explode_spectra, pack_spectra
 from .operators import filterbank as fbk
-from .operators import folded, matched, rfi, robust, series, spectrum
+from .operators import folded, matched, rfi, robust, series, simulate, spectrum
+from .plans import search
+from .runtime import scratch, share_package
+from .sources import masks, presto, sigproc
+from .streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -526,7 +530,8 @@ def spectrum_top(s, h):
     return spectrum.top_peaks(spectrum.form_spec(transformed(s)))
 
 
-@query()
+@query(f"""WITH {DFT}, hs AS (SELECT j, re, im FROM range(1, 9) t(j), z JOIN ft ON k = round_even(12.0 * (0.001 * z) * j, 0)), bs AS (SELECT unnest(range(0, 16)) AS bin)
+SELECT bin::INT AS bin, round(sqrt(sum(CASE WHEN j < 8 THEN 2 * (re * cos(2 * pi() * j * bin / 16) - im * sin(2 * pi() * j * bin / 16)) ELSE re * cos(pi() * bin) END) ** 2 + sum(CASE WHEN j = 8 THEN im * cos(pi() * bin) ELSE 0 END) ** 2) / 16, 6) + 0.0 AS v FROM hs, bs GROUP BY bin""")
 def recon_profile(s, h):
     return spectrum.recon_prof(transformed(s), padded(h), 12.0, 8)
 
@@ -550,16 +555,90 @@ def best_pulse(s, h):
     return matched.best_pulse(matched.boxcar_snr(summed(s), h.nsamples))
 
 
-@query()
+def template_sql(kind: str, widest: float) -> str:
+    """SQL for the correlations with a bank of templates, given by their samples."""
+    bank = [(i, width, j - ref, float(v)) for i, (width, shape, ref) in enumerate(matched.templates(kind, widest)) for j, v in enumerate(shape)]
+    rows = ", ".join(f"({i}, {w!r}, {o}, {v!r})" for i, w, o, v in bank)
+    return f"""{SNR}, tp(i, w, o, x) AS (VALUES {rows}), tm AS (SELECT i, sum(x::DOUBLE) AS sx, sum(x::DOUBLE ** 2) AS sxx FROM tp GROUP BY i),
+cr AS (SELECT i, any_value(w) AS w, a.t, sum(x::DOUBLE * b.z) AS s FROM z a, tp, h JOIN z b ON b.t = ((a.t + o) % n + n) % n GROUP BY i, a.t)
+SELECT i::INT AS itemp, {r('w::DOUBLE', 'width')}, t, {r('(s - sx / n * (zm * n)) / sqrt(sxx - sx * sx / n)', 'snr')} FROM cr JOIN tm USING (i), zm, h"""
+
+
+@query("WITH " + template_sql("gaussian", 32))
 def matched_filter_gaussian(s, h):
     return matched.matched_filter(summed(s), "gaussian")
 
 
-@query()
+@query("WITH " + template_sql("lorentzian", 16))
 def matched_filter_lorentzian(s, h):
     return matched.matched_filter(summed(s), "lorentzian", 16)
 
 
+@query()
+def periodicity_search(s, h):
+    return search.periodicity(s, h, DM, 3, 5, 0.1)
+
+
+@query()
+def fold_candidate(s, h):
+    return search.fold_candidate(s, h, PERIOD, DM, NBINS, NINTS, NBANDS)[0]
+
+
+@query(f"""WITH {FB}, w AS (SELECT t - 2 AS t, c, v FROM fb WHERE t BETWEEN 2 AND 257), l AS (SELECT c, median(v) AS fill FROM w GROUP BY c), g AS (SELECT unnest(range(0, 256)) AS t)
+SELECT g.t, c, {r('coalesce(w.v, fill)', 'v')} FROM g CROSS JOIN l LEFT JOIN w USING (t, c)""")
+def pulse_window(s, h):
+    return search.PulseWindow(h, toa=130, width=2, dm=DM, min_nsamps=256).data(s)
+
+
+@query()
+def simulated_burst(s, h):
+    return simulate.burst(s.sparkSession, h, simulate.PulseParams(dm=DM, structure="gaussian", tau_ms=1.0, seed=5), 256)
+
+
+@query(f"WITH {FB}, w AS (SELECT t, c, v, avg(v) OVER x AS m, stddev_pop(v) OVER x AS s FROM fb WINDOW x AS (PARTITION BY c ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT t, c, {r('(v - m) / CASE WHEN s > 1e-5 THEN s ELSE 1 END', 'v')} FROM w")
+def rescale_running(s, h):
+    return windows.rescale(explode_spectra(s))
+
+
+# Files: what is written is read back.
+
+
+@query(f"WITH {FB} SELECT t, c, {r('v')} FROM fb")
+def fil_round_trip(s, h):
+    path = scratch(s.sparkSession, "round-trip") + ".fil"
+    sigproc.write_fil(s, h, path)
+    return explode_spectra(sigproc.read_fil(s.sparkSession, path)[0])
+
+
+@query(f"WITH {FB}, m AS (SELECT c, avg(v) AS m, stddev_pop(v) AS s FROM fb GROUP BY c) SELECT t, c, least(3.0, greatest(0.0, trunc(((v - m) / s) * (1.5 / 1.5) + 2.0)))::DOUBLE AS v FROM fb JOIN m USING (c)")
+def fil_round_trip_2bit(s, h):
+    path = scratch(s.sparkSession, "round-trip") + ".fil"
+    sigproc.write_fil(pack_spectra(fbk.requantize(explode_spectra(s), 2)), h.updated(nbits=2), path)
+    return explode_spectra(sigproc.read_fil(s.sparkSession, path)[0])
+
+
+@query("SELECT vec_id AS t, round(embedding[6]::DOUBLE, 6) + 0.0 AS v FROM embeddings")
+def dat_round_trip(s, h):
+    path = scratch(s.sparkSession, "round-trip") + ".dat"
+    presto.write_dat(fbk.read_chan(s, h, 5), h, path)
+    return presto.read_dat(s.sparkSession, path)[0]
+
+
+@query("SELECT vec_id AS k, round(embedding[1]::DOUBLE, 6) + 0.0 AS re, round(embedding[2]::DOUBLE, 6) + 0.0 AS im FROM embeddings")
+def fft_round_trip(s, h):
+    path = scratch(s.sparkSession, "round-trip") + ".fft"
+    pairs = s.select("obs_id", F.col("t").alias("k"), F.col("spec")[0].alias("re"), F.col("spec")[1].alias("im"))
+    presto.write_fft(pairs, h, path)
+    return presto.read_fft(s.sparkSession, path)[0]
+
+
+@query(f"WITH {CLEAN} SELECT c, masked FROM mk")
+def mask_round_trip(s, h):
+    path = scratch(s.sparkSession, "mask")
+    masks.save(rfi.rfi_mask(explode_spectra(s), h, freq_ranges=[(1380, 1385)]).select("c", "masked"), h, path)
+    return masks.load(s.sparkSession, path)[0]
+
+
 # Events.
 
 
@@ -573,3 +652,41 @@ ORACLE["events_timeseries"] = f"""
 WITH e AS (SELECT event_type AS obs_id, epoch_us(ts) // 3600000000 AS b, value FROM events), g AS (SELECT DISTINCT obs_id, unnest(range((SELECT min(b) FROM e), (SELECT max(b) FROM e) + 1)) AS b FROM e)
 SELECT g.obs_id, g.b - (SELECT min(b) FROM e) AS t, {r('coalesce(sum(value), 0.0)', 'v')} FROM g LEFT JOIN e USING (obs_id, b) GROUP BY g.obs_id, g.b
 """
+
+
+EVENT_WINDOWS = f"""SELECT time_bucket(INTERVAL 1 DAY, ts) AS "start", event_type, count(*) AS n, {r('sum(value)', 'total')}, {r('avg(value)', 'mean')}, {r('min(value)', 'low')}, {r('max(value)', 'high')} FROM events GROUP BY 1, 2"""
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    return df.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", *[C.tidy(F.col(c)).alias(c) for c in ("total", "mean", "low", "high")])
+
+
+def events_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    return _windows(windows.windowed_stats(raw.withColumn("ts", F.col("ts").cast("timestamp"))))
+
+
+def events_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream, run until what is there is read."""
+    share_package(spark)
+    name = f"events_{scratch(spark, 'q').rsplit('-', 1)[1]}"
+    live = windows.windowed_stats(windows.read_events(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+    q = live.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _windows(spark.table(name))
+
+
+def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    out = windows.session_stats(raw.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n", C.tidy(F.col("total")).alias("total"))
+
+
+QUERIES |= {"events_windows": events_windows, "events_stream_windows": events_stream_windows, "events_sessions": events_sessions}
+ORACLE |= {
+    "events_windows": EVENT_WINDOWS,
+    "events_stream_windows": EVENT_WINDOWS,
+    "events_sessions": f"""WITH a AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 6 HOUR, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a)
+SELECT min(ts) AS "start", max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n, {r('sum(value)', 'total')} FROM b GROUP BY user_id, g""",
+}

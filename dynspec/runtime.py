@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +17,11 @@ def share_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new local path for files, in the folder that executors share (``spark.checkpoint.dir``) or, where that is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="dynspec-")
+    base = base.removeprefix("file://").removeprefix("file:")
+    os.makedirs(base, exist_ok=True)
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")

@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the same tables."""
 
 import os
+from datetime import datetime
 
 import duckdb
 import pandas as pd
@@ -21,6 +22,8 @@ def plain(df: pd.DataFrame) -> list[tuple]:
             return bool(v)
         if isinstance(v, str):
             return v
+        if isinstance(v, datetime):
+            return str(pd.Timestamp(v))
         return round(float(v), 6) + 0.0
 
     cols = sorted(df.columns)
