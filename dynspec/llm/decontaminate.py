@@ -101,7 +101,8 @@ def find_hits(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text
     held = stored(met.where(same).select("a", "b", "start", "k", "ids").distinct(), "held")
     hit = held.select("a", "b", F.explode(F.sequence("start", F.expr("start + k - 1"))).alias("at")).distinct().groupBy("a", "b").agg(F.count("*").alias("n_hit"))
     named = held.select("a", "b", F.explode("ids").alias("id")).distinct().groupBy("a", "b").agg(F.sort_array(F.collect_list("id")).alias("items"))
-    per_text = hit.join(named, ["a", "b"], "left")
+    # Stored, so that both sides of the join with the rows are plain exchanges and a text with many copies can be split.
+    per_text = stored(hit.join(named, ["a", "b"], "left"), "per-text")
     out = base.join(per_text, ["a", "b"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
