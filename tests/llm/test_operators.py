@@ -284,6 +284,15 @@ def test_decontamination(spark):
     assert decontaminate.find_hits(docs(spark, []), benchmark).count() == 0
 
 
+def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
+    rng = random.Random(14)
+    items = [(i, words(rng, rng.choice([3, 9, 10, 25]), 60)) for i in range(20)]
+    rows = [(i, words(rng, 15, 60) + " " + rng.choice(items)[1]) for i in range(40)]
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    found = decontaminate.find_hits(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()) == brute_hits(rows, items)
+
+
 # Mixing
 
 
