@@ -245,11 +245,9 @@ def fold(spectra: DataFrame, header: ObsHeader, period: float, dm: float, accel:
     d = header.delays(dm, ref)
     low, high = valid_range(d, header.nsamples)
     bands = np.minimum((np.arange(header.nchans) / (header.nchans / nbands)).astype(int), nbands - 1)
-    size = {(a, c): n for a, _, c, n in _runs(d, bands)}
     runs = _runs(d, bands)
     table = "array(" + ", ".join(f"struct({a} AS band, {dd} AS d, {c + 1} AS first, {n} AS n)" for a, dd, c, n in runs) + ")"
     made = f"transform({table}, r -> struct(r.band, t - r.d AS t, aggregate(slice(spec, r.first, r.n), 0D, (s, x) -> s + x) AS v, r.n AS n))"
-    assert len(size) == len(runs)
     parts = spectra.select("obs_id", F.expr(f"inline({made})")).where(F.col("t").between(low, high - 1))
     phase, subint = fold_keys(header, period, accel, nbins, nints)
     cells = parts.groupBy("obs_id", subint.alias("subint"), "band", phase.alias("bin")).agg((F.sum("v") / F.sum("n")).alias("v"), F.sum("n").cast("long").alias("n"))
