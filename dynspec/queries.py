@@ -670,7 +670,8 @@ def events_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream, run until what is there is read."""
     share_package(spark)
     name = f"events_{scratch(spark, 'q').rsplit('-', 1)[1]}"
-    live = windows.windowed_stats(windows.read_events(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+    # A pattern, so that the table may be a file or a folder of files.
+    live = windows.windowed_stats(windows.read_events(spark, f"{sf_dir.rstrip('/')}/events.parque[t]"))
     q = live.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return _windows(spark.table(name))
