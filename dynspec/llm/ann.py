@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cosine: inverted lists of coarse centroids with product-quantised residuals.
 
 Unit vectors are assigned to the nearest of about the root of their number of centroids; what is left of each is coded in ``PARTS`` parts
-of 256 codewords. A query probes its ``PROBES`` nearest lists, scores their codes with a table of its products with all codewords
-(asymmetric distances), and the best ``RERANK`` of each list (with all that tie with the last) are scored exactly on the original vectors.
+of 256 codewords. A query probes the share ``PROBED`` of all lists that is nearest, scores their codes with a table of its products with all codewords
+(asymmetric distances), and the best ``RERANK`` of each list are scored exactly on the original vectors. Vectors without clusters
+need most lists for a high recall; where vectors are clustered, a small ``probed`` is enough and much cheaper.
 Centroids and codewords are fitted on at most ``MAX_TRAINED`` vectors, chosen by hash; every vector is indexed.
 
 Rows with equal vectors share an index entry, which carries their ``k + 1`` smallest ids: no other row of theirs can be among the nearest, as ties
@@ -30,8 +31,10 @@ K = 5
 MAX_TRAINED = 16384
 MAX_LISTS = 4096
 PARTS = 16
-PROBES = 32
-RERANK = 64
+PROBED = 0.7
+RERANK = 32
+#: Numbers in one array of gathered vectors.
+GATHERED = 1 << 22
 CHUNK = 4096
 BLOCK = 1024
 ROUNDS = 10
@@ -79,10 +82,10 @@ class Index:
         return np.argsort(-near, axis=1, kind="stable")[:, :probes]
 
     def adc(self, q: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate products of the unit query with the coded vectors of a list."""
-        out = np.full(len(codes), q @ self.centroids[own])
+        """Approximate products of unit queries with the coded vectors of a list."""
+        out = np.repeat((q @ self.centroids[own])[:, None], len(codes), axis=1)
         for i, ((a, b), w) in enumerate(zip(self.bounds, self.words)):
-            out += (w @ q[a:b])[codes[:, i]]
+            out += (q[:, a:b] @ w.T)[:, codes[:, i]]
         return out
 
 
@@ -96,8 +99,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Of one vector with each row; the same for equal rows, wherever they stand."""
-    return (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
+    """Of vectors along the last axis; the same for equal ones, wherever they stand."""
+    return (x * q).sum(axis=-1) / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((x * x).sum(axis=-1)))
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -109,7 +112,7 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (length["n"] if length else 0))
 
 
-def search(vectors: DataFrame, is_query: F.Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, is_query: F.Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, probed: float = PROBED) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each id where ``is_query`` (on ``vec_id``) holds, the ``k`` nearest other ids found."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -136,7 +139,7 @@ def search(vectors: DataFrame, is_query: F.Column, *, vec_id: str = "vec_id", ve
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                lists = shared.value.probe(_unit(_matrix(b.column("v"))), probes)
+                lists = shared.value.probe(_unit(_matrix(b.column("v"))), int(np.ceil(probed * len(shared.value.centroids))))
                 at = pa.array(np.repeat(np.arange(len(b)), lists.shape[1]))
                 yield pa.RecordBatch.from_arrays([b.column("q").take(at), b.column("v").take(at), pa.array(lists.ravel().astype(np.int32))], ["q", "v", "list"])
 
@@ -158,12 +161,16 @@ def search(vectors: DataFrame, is_query: F.Column, *, vec_id: str = "vec_id", ve
             x, ids = _matrix(have["v"]), have["ids"].to_pylist()
             codes = np.frombuffer(b"".join(have["code"].to_pylist()), np.uint8).reshape(len(x), -1)
             q = _matrix(ask["v"])
-            for name, v, u in zip(ask["q"].to_pylist(), q, _unit(q)):
-                near = shared.value.adc(u, own, codes)
-                best = np.flatnonzero(near >= np.partition(near, -RERANK)[-RERANK]) if len(near) > RERANK else np.arange(len(near))
-                exact = cosines(v, x[best])
-                found = [(-s, i) for s, j in zip(exact.tolist(), best.tolist()) for i in ids[j]]
-                out += [(name, i, -s) for s, i in sorted(found)[: k + 1]]
+            units, labels = _unit(q), ask["q"].to_pylist()
+            take = min(RERANK, len(x))
+            step = max(1, GATHERED // (take * x.shape[1]))
+            for at in range(0, len(q), step):
+                near = shared.value.adc(units[at : at + step], own, codes)
+                best = np.argpartition(-near, take - 1, axis=1)[:, :take]
+                exact = cosines(q[at : at + step, None, :], x[best])
+                for name, row, score in zip(labels[at : at + step], best.tolist(), exact.tolist()):
+                    found = sorted((-s, i) for s, j in zip(score, row) for i in ids[j])[: k + 1]
+                    out += [(name, i, -s) for s, i in found]
         names, found_ids, scores = zip(*out) if out else ((), (), ())
         return pa.table({"q": pa.array(names, pa.struct([("a", pa.int64()), ("b", pa.int64())])), "vec_id": pa.array(found_ids, have.schema.field("ids").type.value_type), "score": pa.array(scores, pa.float64())})
 
