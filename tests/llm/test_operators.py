@@ -211,6 +211,43 @@ def test_similar_documents(spark):
     assert similar.similar_documents(docs(spark, [])).count() == 0
 
 
+def joined(spark, rows):
+    """The component of each id."""
+    return {r.doc_id: r.component_id for r in similar.similar_documents(docs(spark, rows)).collect()}
+
+
+def jaccard(a, b, n=5):
+    a, b = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_copies_behind_a_shared_passage(spark):
+    rng = random.Random(21)
+    passage, rows = words(rng, 240, 5000), []
+    for i in range(300):
+        own = f"{words(rng, 30, 5000)} {passage} {words(rng, 30, 5000)}"
+        edited = own.split()
+        edited[5], edited[150] = "new1", "new2"
+        rows += [(i, own), (10_000 - i, " ".join(edited))]
+    assert all(jaccard(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8 for i in range(300))
+    assert joined(spark, rows) == {j: min(j, 10_000 - j) for j, _ in rows}
+
+
+def test_similar_long_lists_keep_every_link(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LIST_LIMIT", 4)
+    monkeypatch.setattr(similar, "COMMON", 10**9)
+    rng = random.Random(22)
+    rows, want = [], {}
+    for g in range(6):
+        base = words(rng, 100, 5000).split()
+        for c in range(20):
+            # Along a chain, so that ends are unlike and only neighbours link.
+            rows.append((100 * g + c, " ".join(base[2 * c :] + [f"g{g}w{i}" for i in range(2 * c)])))
+            want[100 * g + c] = 100 * g
+    rng.shuffle(rows)
+    assert joined(spark, rows) == want
+
+
 # Lines
 
 
