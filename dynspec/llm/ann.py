@@ -2,7 +2,7 @@
 
 Unit vectors are assigned to the nearest of about the root of their number of centroids; what is left of each is coded in ``PARTS`` parts
 of 256 codewords. A query probes the share ``PROBED`` of all lists that is nearest, scores their codes with a table of its products with all codewords
-(asymmetric distances), and the best ``RERANK`` of each list are scored exactly on the original vectors. Vectors without clusters
+(asymmetric distances), and every entry whose score plus its quantisation error can reach the ``k + 1``-th exact score among the best ``RERANK`` is scored exactly on the original vectors. Vectors without clusters
 need most lists for a high recall; where vectors are clustered, a small ``probed`` is enough and much cheaper.
 Centroids and codewords are fitted on at most ``MAX_TRAINED`` vectors, chosen by hash; every vector is indexed.
 
@@ -33,6 +33,8 @@ MAX_LISTS = 4096
 PARTS = 16
 PROBED = 0.7
 RERANK = 32
+#: Against rounding; only ever lets more entries through to be scored exactly.
+MARGIN = 1e-9
 #: Numbers in one array of gathered vectors.
 GATHERED = 1 << 22
 CHUNK = 4096
@@ -72,10 +74,13 @@ class Index:
         bounds = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
         return cls(centroids, bounds, [kmeans(np.ascontiguousarray(rest[:, a:b]), 256, i) for i, (a, b) in enumerate(bounds)])
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, code and length of what the code leaves out of each vector."""
         own = _nearest(x, self.centroids)
         rest = x - self.centroids[own]
-        return own, np.stack([_nearest(rest[:, a:b], w) for (a, b), w in zip(self.bounds, self.words)], axis=1).astype(np.uint8)
+        codes = np.stack([_nearest(rest[:, a:b], w) for (a, b), w in zip(self.bounds, self.words)], axis=1).astype(np.uint8)
+        left = rest - np.concatenate([w[codes[:, i]] for i, w in enumerate(self.words)], axis=1)
+        return own, codes, np.sqrt((left * left).sum(axis=1))
 
     def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
         near = x @ self.centroids.T - (self.centroids * self.centroids).sum(axis=1) / 2
@@ -103,6 +108,21 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=-1) / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((x * x).sum(axis=-1)))
 
 
+def reach(q: np.ndarray, x: np.ndarray, near: np.ndarray, errors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its place, the entries of ``x`` that can be among its ``k`` best, and their exact scores.
+
+    By Cauchy-Schwarz a score is at most ``errors`` above its approximation ``near``. The ``k``-th exact score of the ``RERANK`` best by approximation is a score that ``k``
+    entries have, so each entry that can reach it is scored, and no other can be among the best.
+    """
+    take = min(max(RERANK, k), len(x))
+    first = np.argpartition(-near, take - 1, axis=1)[:, :take]
+    step = max(1, GATHERED // x.shape[1])
+    for n in range(len(q)):
+        least = -np.inf if take < k else np.partition(cosines(q[n], x[first[n]]), take - k)[take - k]
+        best = np.flatnonzero(near[n] + errors >= least - MARGIN)
+        yield n, best, np.concatenate([cosines(q[n], x[best[i : i + step]]) for i in range(0, len(best), step)])
+
+
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """``(vec_id, v)`` of the rows that take part."""
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
@@ -130,11 +150,11 @@ def search(vectors: DataFrame, is_query: F.Column, *, vec_id: str = "vec_id", ve
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                own, codes = shared.value.encode(_unit(_matrix(b.column("v"))))
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("ids"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "list", "code"])
+                own, codes, errors = shared.value.encode(_unit(_matrix(b.column("v"))))
+                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("ids"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)], ["v", "ids", "list", "code", "error"])
 
     kinds = dict(entries.dtypes)
-    coded = stored(entries.mapInArrow(encode, f"v {kinds['v']}, ids {kinds['ids']}, list int, code binary"), "index")
+    coded = stored(entries.mapInArrow(encode, f"v {kinds['v']}, ids {kinds['ids']}, list int, code binary, error double"), "index")
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,15 +182,16 @@ def search(vectors: DataFrame, is_query: F.Column, *, vec_id: str = "vec_id", ve
             codes = np.frombuffer(b"".join(have["code"].to_pylist()), np.uint8).reshape(len(x), -1)
             q = _matrix(ask["v"])
             units, labels = _unit(q), ask["q"].to_pylist()
-            take = min(RERANK, len(x))
-            step = max(1, GATHERED // (take * x.shape[1]))
+            errors = have["error"].to_numpy()
+            step = max(1, GATHERED // len(x))
             for at in range(0, len(q), step):
                 near = shared.value.adc(units[at : at + step], own, codes)
-                best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                exact = cosines(q[at : at + step, None, :], x[best])
-                for name, row, score in zip(labels[at : at + step], best.tolist(), exact.tolist()):
-                    found = sorted((-s, i) for s, j in zip(score, row) for i in ids[j])[: k + 1]
-                    out += [(name, i, -s) for s, i in found]
+                for n, best, exact in reach(q[at : at + step], x, near, errors, k + 1):
+                    if len(exact) > k + 1:
+                        high = exact >= np.partition(exact, -k - 1)[-k - 1]
+                        best, exact = best[high], exact[high]
+                    found = sorted((-s, i) for s, j in zip(exact.tolist(), best.tolist()) for i in ids[j])[: k + 1]
+                    out += [(labels[at + n], i, -s) for s, i in found]
         names, found_ids, scores = zip(*out) if out else ((), (), ())
         return pa.table({"q": pa.array(names, pa.struct([("a", pa.int64()), ("b", pa.int64())])), "vec_id": pa.array(found_ids, have.schema.field("ids").type.value_type), "score": pa.array(scores, pa.float64())})
 

@@ -437,6 +437,25 @@ def test_ann_recall_and_scores(spark):
     assert [v for _, v, _ in sorted(got[0])] == [2000, 2001, 2002, 2003, 2004]
 
 
+def test_ann_groups_of_near_copies():
+    rng = np.random.default_rng(3)
+    x = ann._unit(np.concatenate([rng.normal(size=(1000, 64)), rng.normal(size=64) + 0.01 * rng.normal(size=(1000, 64))]))
+    index = ann.Index.fit(x[::2], 45)
+    own, codes, errors = index.encode(x)
+    hit = total = 0
+    for n in range(1000, 2000, 20):
+        found = []
+        for one in np.unique(own):
+            at = np.flatnonzero(own == one)
+            near = index.adc(x[n : n + 1], one, codes[at])
+            for _, best, exact in ann.reach(x[n : n + 1], x[at], near, errors[at], 6):
+                found += zip(-exact, at[best])
+        want = np.argsort(-ann.cosines(x[n], x), kind="stable")[:6]
+        hit += len({j for _, j in sorted(found)[:6]} & set(want.tolist()))
+        total += 6
+    assert hit == total
+
+
 def test_ann_few_rows(spark):
     kind = "vec_id long, embedding array<double>"
     got = ann.search(spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [1.0, 0.0])], kind), ann.F.col("vec_id") % 50 == 0).collect()
