@@ -3,7 +3,7 @@
 Markup is stripped to lines, one per block of the page. Text lengths (links and boilerplate elements count nothing) are summed over sliding windows of
 lines; a surge is where the sums rise above ``SURGE``, a dive where they fall to nothing, and the stretch between them with the most text is
 the article's core. If a content element (``article``, ``main``, or one named as such) holds most of the core, its
-first and last line replace surge and dive, so that short lines at either end stay. Lines of menus, headers, footers,
+lines are added to those between surge and dive, so that short lines at either end stay and none of the core goes. Lines of menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
 
 Scanning is linear in the page: nothing is searched for twice from the same place, and open elements are kept on one stack.
@@ -221,7 +221,8 @@ def main_text(html: str | None) -> str:
     core = sum(weights[first:last])
     around = [(b - a, a, b) for a, b in page.held if sum(weights[max(a, first) : min(b, last)]) >= HOLDS * core and any(not s for _, _, s in page.lines[a:b])]
     if around:
-        _, first, last = min(around)
+        _, a, b = min(around)
+        first, last = min(first, a), max(last, b)
     elif not core:
         first, last = 0, len(page.lines)
     return "\n".join(text for text, _, skip in page.lines[first:last] if not skip)

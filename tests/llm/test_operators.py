@@ -390,6 +390,13 @@ def test_html_without_article():
     assert html.main_text(page) == "\n".join(body)
 
 
+def test_html_core_outside_the_content_element_stays():
+    lead, rest = " ".join(["lead"] * 15), " ".join(["rest"] * 15)
+    inner = " ".join(["inside"] * 60)
+    page = f"<body><article><h1>The title</h1><p>{lead}</p><div class='entry-content'><p>{inner}</p></div><p>{rest}</p></article></body>"
+    assert html.main_text(page) == "\n".join(["The title", lead, inner, rest])
+
+
 def test_html_hostile_pages_are_linear():
     for page in ('<div class="' * 50_000, "<!--" * 50_000, "<p>" * 50_000 + "</div>" * 50_000, "<script>" * 50_000, "<" * 50_000, "<b><p>" * 50_000):
         html.main_text(page)
