@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary spends few tokens on words and many on random strings, so a low count of characters per token exposes
 keys that no pattern names. Runs of key characters with letters and digits are scored that way, after known digests (hexadecimal
-strings of a digest's length), UUIDs and identifiers of joined words are set aside.
+strings of a digest's length), UUIDs and identifiers of joined words are set aside; where a run is no key as a whole, its pieces
+of 16 characters or more between ``/ _ = -`` are scored by themselves, without need of a digit. Shorter ones are not looked for.
 
 Offsets count code points, ends are exclusive. Defined results: a null text is the empty one, with no spans and the digest of the
 empty string; a span found by both a pattern and the score keeps the pattern's kind alone; repeated rows come back as often as they
@@ -34,7 +35,10 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "random")
 #: Hex runs shorter than this cannot pass, and searching for long ones alone is the same and faster.
 LONG_HEX = re.compile(rf"[0-9a-f]{{{LEAST['hex']},}}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LONG_RUN = 20
+#: Pieces of a run that are scored by themselves, so that words around a key do not hide it.
+KEY = re.compile(r"[A-Za-z0-9+]{16,}")
 UUID = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\Z")
 DIGEST = re.compile(r"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z")
 #: What an identifier or path is joined from; random strings change between these every character or two.
@@ -42,6 +46,8 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 PART_LENGTH = 4
 PIECE = 64
 RATIO = 2.4
+#: For pieces, which need no digit: words have 2 characters per token or more even in capitals, random ones 1.4 on average.
+KEY_RATIO = 1.9
 
 
 @cache
@@ -66,12 +72,15 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], vocabulary: str,
             reach = max(reach, taken[at][1])
             at += 1
         run = m[0]
-        if reach > m.start() or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+        if reach > m.start() or UUID.match(run) or DIGEST.match(run):
             continue
-        if UUID.match(run) or DIGEST.match(run) or len(run) >= PART_LENGTH * len(PART.findall(run)):
-            continue
-        if len(run) < ratio * len(encoder(vocabulary).encode_ordinary(run)):
+        mixed = len(run) >= LONG_RUN and re.search("[0-9]", run) and re.search("[A-Za-z]", run)
+        if mixed and len(run) < PART_LENGTH * len(PART.findall(run)) and len(run) < ratio * len(encoder(vocabulary).encode_ordinary(run)):
             found.append((m.start(), m.end(), "random"))
+            continue
+        for key in KEY.finditer(run):
+            if re.search("[A-Za-z]", key[0]) and not DIGEST.match(key[0]) and len(key[0]) < KEY_RATIO * len(encoder(vocabulary).encode_ordinary(key[0])):
+                found.append((m.start() + key.start(), m.start() + key.end(), "random"))
     return found
 
 

@@ -118,6 +118,18 @@ def test_secrets_by_tokens():
         assert find(fine) == []
 
 
+def test_secrets_of_letters_in_paths_and_short():
+    rng = random.Random(31)
+    letters, upper = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    for alphabet, n, before in ((letters + "0123456789", 16, ""), (letters, 32, ""), (upper, 32, ""), (letters + "0123456789", 24, "storage/production/database/credentials/backup/primary/")):
+        hits = 0
+        for _ in range(200):
+            key = "".join(rng.choice(alphabet) for _ in range(n))
+            text = f"see {before}{key} there"
+            hits += any(text[a:b].endswith(key) for a, b, _ in secrets.random_spans(text, [], secrets.VOCABULARY, secrets.RATIO))
+        assert hits >= 190
+
+
 # SimHash
 
 
