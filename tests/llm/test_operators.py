@@ -260,6 +260,27 @@ def test_similar_long_lists_keep_every_link(spark, monkeypatch):
     assert joined(spark, rows) == want
 
 
+def test_similar_repeated_lines_count_once(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(20):
+        text, line = words(rng, 300, 5000), words(rng, 12, 5000)
+        rows += [(2 * i, f"{text} {line}"), (2 * i + 1, " ".join([text] + [line] * 20))]
+    assert all(jaccard(rows[j][1], rows[j + 1][1]) >= 0.8 for j in range(0, 40, 2))
+    assert joined(spark, rows) == {j: j - j % 2 for j in range(40)}
+
+
+def test_similar_contiguous_edits(spark):
+    rng = random.Random(24)
+    rows = []
+    for i in range(60):
+        w = words(rng, 300, 5000).split()
+        new = words(rng, 60, 5000).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join((w[:243], w + new, new[:28] + w[28:])[i % 3]))]
+    assert all(0.8 <= jaccard(rows[j][1], rows[j + 1][1]) < 0.85 for j in range(0, 120, 2))
+    assert joined(spark, rows) == {j: j - j % 2 for j in range(120)}
+
+
 # Lines
 
 
