@@ -1,8 +1,9 @@
 """Connected components of a link table, wholly distributed.
 
 Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).
-Every step is an aggregation combined before its shuffle and a join, so a hub with millions of
-links is never held by one task, and each round's links are written to the shared folder.
+Every step is an aggregation combined before its shuffle and a join with its result. That result, a row a node, is stored first, so both
+sides of the join are plain exchanges and Spark may split a hub's partition; the rows of a hub stream through the join and are never held together.
+Each round's links are written to the shared folder. Long texts play no part here: a node is a number.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ def _downwards(links: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _downwards(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    return _downwards(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _downwards(moved.unionAll(least.select("a", F.col("m").alias("b"))))
 
@@ -41,6 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         if found == state or not found[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = found
-        after = stored(_small_star(_large_star(now)), "links")
+        up = stored(_large_star(now), "links")
         drop_stored(now)
-        now = after
+        now = stored(_small_star(up), "links")
+        drop_stored(up)

@@ -1,13 +1,17 @@
 """Content-addressed WARC archive.
 
 An archive is two Parquet tables in one folder: ``payloads`` holds the bytes of each distinct payload once,
-under its SHA-256, compressed; ``records`` holds the exact header block of every record and the key of its
-payload. Originals come back through a join on that key, and each payload is checked against its digest
+under its SHA-256, compressed; ``records`` holds the exact header block of every record, the HTTP head that comes before its payload, and the key of the
+payload. Originals come back through a join on that key; what a record says of itself is parsed from its header, and each payload is checked against its digest
 when it is read.
 
+Bodies cross one exchange when written and one when read. Tasks compress a body and pass on each they have not yet seen, so copies of
+a payload, however many, make a row a task; the table of first records is stored before its join, so a payload that a third of all records share can be split.
+
 Defined results: a null payload is the empty one; a null id ranks after all others, and revisits of a payload
 that only null ids have refer to null; rows that repeat the id of a payload's first record are responses as it
-is; a null URL gives an empty target; an empty table gives an empty archive. Input columns other than the three
+is; rows that are alike in id, URL and payload are one capture and share a record id; a null URL gives an empty target; control characters and spaces in a URL are
+written as percent escapes, so that a header has the lines it should; an empty table gives an empty archive; a payload of any length is one value, as it is in the input. Input columns other than the three
 named are not read, so none can clash.
 """
 
@@ -22,11 +26,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches, table
+from .common import scratch_path, small_batches, stored, table
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
+#: Keys of payloads that a task remembers having passed on.
+SEEN = 1 << 16
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -39,10 +46,36 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def _compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=3)
+    """Compressed bodies, those that this task has passed on lately left out."""
+    packer, seen = zstandard.ZstdCompressor(level=3), set()
     for batch in batches:
-        packed = [packer.compress(b.as_buffer()) for b in batch.column("body")]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], batch.schema.names)
+        fresh = []
+        for at, key in enumerate(batch.column("store_key").to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                fresh.append(at)
+        if len(seen) > SEEN:
+            seen.clear()
+        bodies = batch.column("body")
+        yield pa.RecordBatch.from_arrays([batch.column("store_key").take(pa.array(fresh, pa.int64())), pa.array([packer.compress(bodies[at].as_buffer()) for at in fresh], pa.binary())], ["store_key", "body"])
+
+
+def _uri(url: Column) -> Column:
+    """A URL without the characters that would end a header line."""
+    for code in (0, 9, 10, 11, 12, 13, 32, 127):
+        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return url
+
+
+def _urn(page_id: Column, url: Column, store_key: Column) -> Column:
+    digest = F.sha2(F.concat_ws("|", page_id.cast("string"), url, store_key), 256)
+    return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(digest, a, n), F.lit("-" if a < 21 else ">"))])
+
+
+def field(header: Column, name: str) -> Column:
+    """The value of a header field; null where there is none."""
+    value = F.regexp_extract(header, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
+    return F.when(F.contains(F.concat(F.lit("\r\n"), header), F.lit(f"\r\n{name}: ")), value)
 
 
 def _restore(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,51 +96,51 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("body"))
     keyed = rows.select("page_id", "url", F.sha2("body", 256).alias("store_key"), F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("sha1"))
-    # One small row per payload; combined before the shuffle, so copies by the million cost nothing.
-    firsts = keyed.groupBy("store_key").agg(F.min("page_id").alias("first_id"))
-    kind = keyed.select("page_id", "url", "store_key", "payload_bytes", base32_of_hex(F.col("sha1")).alias("payload_digest")).join(firsts, "store_key")
+    # One small row per payload, combined before the shuffle.
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("l")
+    firsts = stored(keyed.groupBy("store_key").agg(least).select("store_key", F.col("l.page_id").alias("first_id"), F.col("l.url").alias("first_url")), "firsts")
+    kind = keyed.join(firsts, "store_key")
     is_first = F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("payload_bytes") < min_revisit_bytes)
-    record_id = F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), "url", "store_key"), 256)
-    urn = F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(record_id, a, n), F.lit("-" if a < 21 else ">"))])
+    revisit = F.col("record_type") == "revisit"
+    head = F.when(revisit, "").otherwise(F.concat(F.lit(HTTP_HEAD), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n")))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), "record_type"),
-        F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit(""))),
+        F.concat(F.lit("WARC-Target-URI: "), _uri(F.coalesce("url", F.lit("")))),
         F.lit(f"WARC-Date: {DATE}"),
-        F.concat(F.lit("WARC-Record-ID: "), urn),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), "payload_digest"),
-        F.when(F.col("record_type") == "revisit", F.lit(f"WARC-Profile: {PROFILE}")),
-        F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(F.col("record_type") == "revisit", F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
+        F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("page_id"), F.col("url"), F.col("store_key"))),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_hex(F.col("sha1"))),
+        F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("first_id"), F.col("first_url"), F.col("store_key")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), _uri(F.coalesce("first_url", F.lit(""))))),
+        # Fields of our own, which readers that do not know them leave alone: ids of pages, for results without a second join.
+        F.concat(F.lit("X-Page-ID: "), _uri(F.col("page_id").cast("string"))),
+        F.when(revisit, F.concat(F.lit("X-Refers-To-Page-ID: "), _uri(F.col("first_id").cast("string")))),
+        F.lit("Content-Type: application/http; msgtype=response"),
+        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise((F.octet_length("http") + F.col("payload_bytes")).cast("string"))),
     ]
-    records = (
-        kind.withColumn("record_type", F.when(is_first, "response").otherwise("revisit"))
-        .withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("first_id")))
-        .withColumn("header", F.concat_ws("\r\n", *lines))
-        .select("page_id", "url", "header", "store_key", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    )
+    records = kind.withColumn("record_type", F.when(is_first, "response").otherwise("revisit")).withColumn("http", head)
+    records = records.withColumn("header", F.concat_ws("\r\n", *lines)).select("page_id", "url", "header", "http", "store_key", "payload_bytes")
     records.write.option("compression", "zstd").parquet(f"{path}/records")
-    # Both keys take part in the exchange, so copies spread out; all but one of them end there.
-    packed = rows.withColumn("store_key", F.sha2("body", 256)).select("page_id", "store_key", "body")
-    packed = packed.mapInArrow(_compress, packed.schema).alias("p")
-    wanted = firsts.alias("f")
-    match = (F.col("p.store_key") == F.col("f.store_key")) & F.col("p.page_id").eqNullSafe(F.col("f.first_id"))
-    once = packed.join(wanted, match, "left_semi").dropDuplicates(["store_key", "page_id"])
-    once.select("store_key", "body").write.option("compression", "none").parquet(f"{path}/payloads")
+    packed = rows.select(F.sha2("body", 256).alias("store_key"), "body").mapInArrow(_compress, "store_key string, body binary")
+    once = packed.groupBy("store_key").agg(F.first("body").alias("body"))
+    once.write.option("compression", "none").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of an archive with its full payload; raises where bytes do not match their digest."""
+    """Every record of an archive with what its header says and its full payload; raises where bytes do not match their digest."""
     small_batches(spark)
     records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
     whole = records.join(payloads, "store_key").select(*records.columns, "body")
     kinds = [f"`{n}` {t}" for n, t in records.dtypes] + ["payload binary"]
-    return whole.mapInArrow(_restore, ", ".join(kinds))
+    back = whole.mapInArrow(_restore, ", ".join(kinds))
+    said = {"record_type": field(F.col("header"), "WARC-Type"), "payload_digest": F.regexp_replace(field(F.col("header"), "WARC-Payload-Digest"), "^sha1:", ""), "refers_to": field(F.col("header"), "X-Refers-To-Page-ID").cast(dict(records.dtypes)["page_id"])}
+    return back.withColumns(said)
 
 
-def record_bytes(header: str, payload: bytes, record_type: str) -> bytes:
+def record_bytes(header: str, http: str, payload: bytes, record_type: str) -> bytes:
     """One record as it stands in a WARC file."""
-    return header.encode() + b"\r\n\r\n" + (b"" if record_type == "revisit" else payload) + b"\r\n\r\n"
+    return header.encode() + b"\r\n\r\n" + (b"" if record_type == "revisit" else http.encode() + payload) + b"\r\n\r\n"
 
 
 def parse_records(data: bytes) -> list[tuple[str, bytes]]:

@@ -49,8 +49,30 @@ def test_warc_round_trip(spark):
         want[(i, b, kind, first.get(b) if kind == "revisit" else None, base64.b32encode(hashlib.sha1(b.encode()).digest()).decode())] += 1
     assert got == want
     r = next(r for r in back if r.page_id == 1)
-    (header, content), *_ = warc.parse_records(warc.record_bytes(r.header, bytes(r.payload), r.record_type))
-    assert header == r.header and content == bytes(r.payload) and f"Content-Length: {len(content)}" in header
+    (header, content), *_ = warc.parse_records(warc.record_bytes(r.header, r.http, bytes(r.payload), r.record_type))
+    assert header == r.header and content == r.http.encode() + bytes(r.payload) and f"Content-Length: {len(content)}" in header
+    again = next(r for r in back if r.page_id == 3)
+    fields = dict(x.split(": ", 1) for x in again.header.split("\r\n")[1:])
+    assert fields["WARC-Refers-To"] == next(x for x in r.header.split("\r\n") if x.startswith("WARC-Record-ID")).split(": ", 1)[1]
+    assert fields["WARC-Refers-To-Target-URI"] == "u1" and fields["Content-Length"] == "0"
+
+
+def test_warc_header_lines_cannot_be_injected(spark):
+    pages = spark.createDataFrame([(1, "http://x/\r\nWARC-Type: revisit\n y", "ab")], "page_id long, url string, html string")
+    path = scratch_path(spark, "t")
+    warc.write_archive(pages, path)
+    r = warc.read_archive(spark, path).first()
+    assert r.record_type == "response" and "http://x/%0D%0AWARC-Type:%20revisit%0A%20y\r\n" in r.header
+
+
+def test_warc_many_copies_are_stored_once(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('u', id) AS url", "if(id % 3 = 0, repeat('hot ', 500), concat('x', id % 700)) AS html").repartition(7)
+    path = scratch_path(spark, "t")
+    warc.write_archive(pages, path)
+    back = warc.read_archive(spark, path)
+    assert spark.read.parquet(f"{path}/payloads").count() == pages.select("html").distinct().count()
+    assert back.count() == 3000 and back.where("record_type = 'response'").count() == pages.select("html").distinct().count()
+    assert back.where("record_type = 'revisit' AND refers_to >= page_id").count() == 0
 
 
 def test_warc_small_payloads_are_responses(spark):
@@ -66,7 +88,7 @@ def test_warc_detects_damage(spark):
     warc.write_archive(pages, path)
     other = spark.read.parquet(f"{path}/payloads").selectExpr("reverse(store_key) AS store_key", "body")
     other.write.parquet(f"{path}/x")
-    records = spark.read.parquet(f"{path}/records").selectExpr("page_id", "url", "header", "reverse(store_key) AS store_key", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = spark.read.parquet(f"{path}/records").selectExpr("page_id", "url", "header", "http", "reverse(store_key) AS store_key", "payload_bytes")
     bad = scratch_path(spark, "t")
     records.write.parquet(f"{bad}/records")
     other.write.parquet(f"{bad}/payloads")
