@@ -5,17 +5,19 @@ tokens of a window are its 5-word shingles (the whole window if it has fewer wor
 holds all the window's shingles, so one necessary shingle is enough to propose it: the rarest in the documents, which
 makes the fewest candidates. The steps:
 
-1. one pass over the texts finds every occurrence of any benchmark shingle, with the words around it;
-2. occurrences give each shingle's frequency, and that order gives each window its prefix shingle;
-3. occurrences meet windows on the prefix shingle; the shingle's offset fixes where the window would start, and windows
-   that would leave the document go (positional and length bounds);
-4. the words themselves are compared, so the result does not rest on hashes.
+1. one pass over the texts finds every place of any benchmark shingle: its number in the text and its hash, no words;
+2. places give each shingle's frequency, and that order gives each window its prefix shingle;
+3. places meet windows on the prefix shingle; the shingle's offset fixes where the window would start, and windows
+   that would leave the document go (length and positional bounds);
+4. the words of proposed texts alone are fetched and compared, so the result does not rest on hashes. Item ids come in after that, by a join.
 
-Benchmark shingles are broadcast up to ``BROADCAST_ROWS`` of them, by count; beyond that the join shuffles.
+The first pass meets a broadcast table: all benchmark shingles while these take less than ``BROADCAST_BYTES``, else a bitmap of ``BITMAP_BITS`` bits
+of their hashes, whose size does not depend on theirs; what passes it is joined with the shingles exactly. Either way the places of texts of any length cross no exchange with
+their words.
 
 Defined results: null texts and items have no words; an item with a null id marks words as hit but is not counted or
 listed; repeated rows come back as often as they went in, repeated items count once; empty tables give no hits, or
-no rows; other columns are not read.
+no rows; texts of any length are taken whole, a row a place; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +29,13 @@ from .common import ascii_lower, stored, table, text_key
 
 SHINGLE = 5
 WINDOW = 10
-#: About 100 bytes each when broadcast.
-BROADCAST_ROWS = 500_000
+#: Most bytes of a table that is broadcast; a row of one or two longs takes about ROW_BYTES.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64
+#: 64 to a row of the broadcast bitmap.
+BITMAP_BITS = 1 << 24
+#: Marks the row that each text has whatever its shingles; ``at`` is -1 there.
+EVERY = 0
 #: What separates words.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -37,70 +44,90 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BREAKS), "")
 
 
-def _hash_at(size: int, at: str) -> str:
-    """SQL for the hash of ``size`` words of ``w`` from the 0-based index ``at``."""
-    return f"xxhash64({size}, {', '.join(f'w[{at} + {j}]' for j in range(size))})"
+def _shingle(size: int, words: list[Column]) -> Column:
+    return F.xxhash64(F.lit(size), *words[:size])
+
+
+def _zipped(w: str, longest: int) -> Column:
+    """From an array of words, for each place the words ``w0``, ``w1`` ... from there on, null beyond the end."""
+    return F.arrays_zip(*[F.expr(f"slice({w}, {j + 1}, size({w}))").alias(f"w{j}") for j in range(longest)])
 
 
 def windows_of(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """``(win, item_id, k, ww)``: distinct windows; ww their k words, win a key of both."""
+    """``(win, item_id, k, ww)``: distinct windows of each item; ww their k words, win a 128-bit key of these."""
     rows = items.select(F.col(item_id).cast("string").alias("item_id"), words_of(F.col(text)).alias("w")).where("size(w) > 0")
     cut = f"transform(sequence(0, greatest(0, size(w) - {window})), i -> slice(w, i + 1, {window}))"
-    return rows.select("item_id", F.expr(f"explode({cut})").alias("ww")).distinct().select(F.xxhash64("item_id", "ww").alias("win"), "item_id", F.size("ww").alias("k"), "ww")
+    key = F.struct(F.xxhash64("ww").alias("a"), F.xxhash64(F.lit(1), "ww").alias("b"))
+    return rows.select("item_id", F.expr(f"explode({cut})").alias("ww")).distinct().select(key.alias("win"), "item_id", F.size("ww").alias("k"), "ww")
 
 
 def _shingles(windows: DataFrame) -> DataFrame:
-    """``(win, o, s, h)``: hash h of each shingle of s words at offset o of a window."""
-    parts = [
-        windows.where(F.col("k") == size if size < SHINGLE else F.col("k") >= size).withColumnRenamed("ww", "w").select("win", F.lit(size).alias("s"), F.expr(f"posexplode(transform(sequence(0, k - {size}), i -> {_hash_at(size, 'i')}))").alias("o", "h"))
-        for size in range(1, SHINGLE + 1)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
-def _occurrences(docs: DataFrame, wanted: DataFrame, sizes: list[int], few: bool, window: int) -> DataFrame:
-    """``(a, b, n, at, h, from, near)``: where in which text a wanted shingle stands, with the words around it."""
-    rows = docs.select(text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("w")).select("key.a", "key.b", "w")
-    out = None
-    for size in sizes:
-        spots = rows.where(F.size("w") >= size).select("a", "b", "w", F.expr(f"posexplode(transform(sequence(0, size(w) - {size}), i -> {_hash_at(size, 'i')}))").alias("at", "h"))
-        of_size = wanted.where(F.col("s") == size).select("h")
-        met = spots.join(F.broadcast(of_size) if few else of_size, "h")
-        back = window - min(size, window)
-        start = F.greatest(F.lit(0), F.col("at") - back)
-        near = F.array_join(F.slice("w", start + 1, F.lit(window + back)), " ")
-        met = met.select("a", "b", F.size("w").alias("n"), "at", "h", start.alias("from"), near.alias("near"))
-        out = met if out is None else out.unionAll(met)
-    return out
+    """``(win, k, o, s, h)``: hash h of each shingle of s words at offset o of a distinct window."""
+    size = F.least("k", F.lit(SHINGLE)).alias("s")
+    spots = windows.select("win", "k", size, F.posexplode(_zipped("ww", SHINGLE)).alias("o", "x")).where("o + s <= k")
+    hashes = [_shingle(n, [F.col(f"x.w{j}") for j in range(n)]) for n in range(1, SHINGLE + 1)]
+    return spots.select("win", "k", "o", "s", F.element_at(F.array(*hashes), F.col("s")).alias("h"))
+
+
+def _bitmap(wanted: DataFrame) -> DataFrame:
+    """``(cell, bits)``: which of ``BITMAP_BITS`` places the hashes take; BITMAP_BITS / 64 rows at most."""
+    return wanted.select(F.shiftright(F.pmod("h", F.lit(BITMAP_BITS)), 6).alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(h, {BITMAP_BITS}) % 64 AS int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+
+
+def _places(docs: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """``(doc_id, a, b, n, at, h)``: of each text a row with ``at`` -1, and one for each place where a wanted shingle stands (or may, if they are many)."""
+    few = wanted.count() * ROW_BYTES <= BROADCAST_BYTES
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("w")).select("doc_id", "key.a", "key.b", F.size("w").alias("n"), "w")
+    longest = max(sizes)
+    # The first element is no place: it brings the row of the text itself through the same pass.
+    zipped = F.concat(F.array(F.struct(*[F.lit(None).cast("string").alias(f"w{j}") for j in range(longest)])), _zipped("w", longest))
+    spots = rows.select("doc_id", "a", "b", "n", F.posexplode(zipped).alias("at", "x")).withColumn("at", F.col("at") - 1)
+    hashes = [F.when(F.col(f"x.w{n - 1}").isNotNull(), _shingle(n, [F.col(f"x.w{j}") for j in range(n)])) for n in sizes]
+    of_text = F.when(F.col("at") < 0, F.lit(EVERY).cast("long"))
+    if len(hashes) == 1:
+        spots = spots.withColumn("h", F.coalesce(of_text, hashes[0]))
+    else:
+        spots = spots.withColumn("h", F.explode(F.array(F.coalesce(of_text, hashes[0]), *hashes[1:])))
+    spots = spots.select("doc_id", "a", "b", "n", "at", "h").where("h IS NOT NULL")
+    marked = wanted.select("h").unionAll(wanted.sparkSession.range(1).select(F.lit(EVERY).cast("long").alias("h"))).distinct()
+    if few:
+        return spots.join(F.broadcast(marked), "h").select("doc_id", "a", "b", "n", "at", "h")
+    met = spots.withColumn("cell", F.shiftright(F.pmod("h", F.lit(BITMAP_BITS)), 6)).join(F.broadcast(_bitmap(marked)), "cell")
+    return met.where(f"getbit(bits, cast(pmod(h, {BITMAP_BITS}) % 64 AS int)) = 1").select("doc_id", "a", "b", "n", "at", "h")
 
 
 def find_hits(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, n_hit, items)`` of every row: words, words inside an occurring window, and the ids (as strings, sorted) of items with one."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    base = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words")).select("doc_id", "key.a", "key.b", "n_words")
-    windows = stored(windows_of(items, item_id, item_text, window), "windows")
+    held_by = stored(windows_of(items, item_id, item_text, window), "windows")
+    windows = stored(held_by.groupBy("win").agg(F.first("k").alias("k"), F.first("ww").alias("ww")), "distinct-windows")
     shingles = stored(_shingles(windows), "shingles")
-    wanted = shingles.select("s", "h").distinct()
-    sizes = sorted(r[0] for r in wanted.select("s").distinct().collect())  # 5 values at most
+    wanted = shingles.select("h").distinct()
+    sizes = sorted(r[0] for r in shingles.select("s").distinct().collect())  # 5 values at most
     if not sizes:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    few = wanted.count() <= BROADCAST_ROWS
-    spots = stored(_occurrences(docs, wanted, sizes, few, window), "occurrences")
+        none = F.array().cast("array<string>")
+        return docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+    places = stored(_places(docs, wanted, sizes), "places")
+    base = places.where("at < 0").select("doc_id", "a", "b", F.col("n").cast("long").alias("n_words"))
+    spots = stored(places.where("at >= 0").select("a", "b", "n", "at", "h").join(shingles.select("h"), "h", "left_semi").distinct(), "spots")
     counts = spots.groupBy("h").count()
     # The prefix: of each window's shingles the rarest; windows with a shingle that never occurs cannot occur.
     ranked = shingles.join(counts, "h", "left")
-    prefix = ranked.groupBy("win").agg(F.min(F.struct("count", "h", "o")).alias("p"), F.min(F.col("count").isNotNull()).alias("all")).where("all").select("win", "p.h", "p.o")
-    asked = stored(windows.join(prefix, "win"), "prefixes").select("h", "o", "k", F.array_join("ww", " ").alias("line"), "item_id")
-    asked = asked.groupBy("h", "o", "k", "line").agg(F.collect_set("item_id").alias("ids"))
-    met = spots.join(F.broadcast(asked) if few else asked, "h").withColumn("start", F.col("at") - F.col("o"))
-    met = met.where("start >= 0 AND start + k <= n")
-    same = F.array_join(F.slice(F.split("near", " "), F.col("start") - F.col("from") + 1, F.col("k")), " ") == F.col("line")
-    held = stored(met.where(same).select("a", "b", "start", "k", "ids").distinct(), "held")
-    hit = held.select("a", "b", F.explode(F.sequence("start", F.expr("start + k - 1"))).alias("at")).distinct().groupBy("a", "b").agg(F.count("*").alias("n_hit"))
-    named = held.select("a", "b", F.explode("ids").alias("id")).distinct().groupBy("a", "b").agg(F.sort_array(F.collect_list("id")).alias("items"))
+    prefix = ranked.groupBy("win", "k").agg(F.min(F.struct("count", "h", "o")).alias("p"), F.min(F.col("count").isNotNull()).alias("all")).where("all")
+    asked = stored(prefix.select("win", "k", "p.h", "p.o"), "prefixes")
+    likely = spots.join(asked, "h").withColumn("start", F.col("at") - F.col("o")).where("start >= 0 AND start + k <= n")
+    likely = stored(likely.select("a", "b", "start", "k", "win").distinct(), "likely")
+    asking = stored(likely.select("a", "b").distinct(), "proposed")
+    few = asking.count() * ROW_BYTES <= BROADCAST_BYTES
+    keyed = docs.select(text_key(F.col("text")).alias("key"), "text").select("key.a", "key.b", "text")
+    fetched = keyed.join(F.broadcast(asking) if few else asking, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("text").alias("text"))
+    fetched = stored(fetched.select("a", "b", words_of(F.col("text")).alias("w")), "proposed-texts")
+    met = likely.join(windows.select("win", "ww"), "win").join(fetched, ["a", "b"])
+    held = stored(met.where(F.slice("w", F.col("start") + 1, F.col("k")) == F.col("ww")).select("a", "b", "start", "k", "win"), "held")
+    spans = held.select("a", "b", "start", "k").distinct()
+    hit = spans.select("a", "b", F.explode(F.sequence("start", F.expr("start + k - 1"))).alias("at")).distinct().groupBy("a", "b").agg(F.count("*").alias("n_hit"))
+    named = held.select("a", "b", "win").distinct().join(held_by.where("item_id IS NOT NULL").select("win", "item_id"), "win").select("a", "b", "item_id").distinct()
+    named = named.groupBy("a", "b").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     # Stored, so that both sides of the join with the rows are plain exchanges and a text with many copies can be split.
     per_text = stored(hit.join(named, ["a", "b"], "left"), "per-text")
     out = base.join(per_text, ["a", "b"], "left")

@@ -376,15 +376,33 @@ def test_decontamination(spark):
     assert decontaminate.find_hits(docs(spark, []), benchmark).count() == 0
 
 
-def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch, bits):
     rng = random.Random(14)
     items = [(i, words(rng, rng.choice([3, 9, 10, 25]), 60)) for i in range(20)]
     rows = [(i, words(rng, 15, 60) + " " + rng.choice(items)[1]) for i in range(40)]
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    rows += [(100 + i, words(rng, 10_000, 400) + " " + items[i][1] + " " + words(rng, 10_000, 400)) for i in range(3)]
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "BITMAP_BITS", bits)
     found = decontaminate.find_hits(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()) == brute_hits(rows, items)
 
 
+def test_decontamination_moves_no_words(spark):
+    rng = random.Random(15)
+    items = spark.createDataFrame([(i, words(rng, 30, 600)) for i in range(5)], "item_id long, text string")
+    shingles = decontaminate._shingles(decontaminate.windows_of(items, "item_id", "text", 10))
+    for few in (True, False):
+        bound, decontaminate.BROADCAST_BYTES = decontaminate.BROADCAST_BYTES, (decontaminate.BROADCAST_BYTES if few else 0)
+        try:
+            found = decontaminate._places(docs(spark, [(1, words(rng, 50, 600))]).select("doc_id", "text"), shingles.select("h").distinct(), [5])
+            assert dict(found.dtypes) == {"doc_id": "bigint", "a": "bigint", "b": "bigint", "n": "int", "at": "int", "h": "bigint"}
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "ResolvedHint" in plan or "broadcast" in plan
+        finally:
+            decontaminate.BROADCAST_BYTES = bound
+
+
 # Mixing
 
 
