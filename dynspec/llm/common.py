@@ -14,6 +14,8 @@ from ..runtime import share_package
 #: Rows and bytes in one Arrow batch sent to a Python worker; long texts make small batches.
 BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
+#: Small rows (a few numbers) that one task writes.
+TASK_ROWS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +35,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors,
-    and gives later plans true sizes."""
+    and gives later plans true sizes. ``rows``, where known, is about how many small rows it has: a few thousand of them need no hundreds of tasks and files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

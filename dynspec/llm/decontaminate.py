@@ -103,6 +103,7 @@ def find_hits(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text
     windows = stored(held_by.groupBy("win").agg(F.first("k").alias("k"), F.first("ww").alias("ww")), "distinct-windows")
     shingles = stored(_shingles(windows), "shingles")
     wanted = shingles.select("h").distinct()
+    rows = shingles.count()
     sizes = sorted(r[0] for r in shingles.select("s").distinct().collect())  # 5 values at most
     if not sizes:
         none = F.array().cast("array<string>")
@@ -114,22 +115,23 @@ def find_hits(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text
     # The prefix: of each window's shingles the rarest; windows with a shingle that never occurs cannot occur.
     ranked = shingles.join(counts, "h", "left")
     prefix = ranked.groupBy("win", "k").agg(F.min(F.struct("count", "h", "o")).alias("p"), F.min(F.col("count").isNotNull()).alias("all")).where("all")
-    asked = stored(prefix.select("win", "k", "p.h", "p.o"), "prefixes")
+    asked = stored(prefix.select("win", "k", "p.h", "p.o"), "prefixes", rows)
     likely = spots.join(asked, "h").withColumn("start", F.col("at") - F.col("o")).where("start >= 0 AND start + k <= n")
     likely = stored(likely.select("a", "b", "start", "k", "win").distinct(), "likely")
     asking = stored(likely.select("a", "b").distinct(), "proposed")
-    few = asking.count() * ROW_BYTES <= BROADCAST_BYTES
+    rows = likely.count()
+    few = rows * ROW_BYTES <= BROADCAST_BYTES
     keyed = docs.select(text_key(F.col("text")).alias("key"), "text").select("key.a", "key.b", "text")
     fetched = keyed.join(F.broadcast(asking) if few else asking, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("text").alias("text"))
     fetched = stored(fetched.select("a", "b", words_of(F.col("text")).alias("w")), "proposed-texts")
     met = likely.join(windows.select("win", "ww"), "win").join(fetched, ["a", "b"])
-    held = stored(met.where(F.slice("w", F.col("start") + 1, F.col("k")) == F.col("ww")).select("a", "b", "start", "k", "win"), "held")
+    held = stored(met.where(F.slice("w", F.col("start") + 1, F.col("k")) == F.col("ww")).select("a", "b", "start", "k", "win"), "held", rows)
     spans = held.select("a", "b", "start", "k").distinct()
     hit = spans.select("a", "b", F.explode(F.sequence("start", F.expr("start + k - 1"))).alias("at")).distinct().groupBy("a", "b").agg(F.count("*").alias("n_hit"))
     named = held.select("a", "b", "win").distinct().join(held_by.where("item_id IS NOT NULL").select("win", "item_id"), "win").select("a", "b", "item_id").distinct()
     named = named.groupBy("a", "b").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     # Stored, so that both sides of the join with the rows are plain exchanges and a text with many copies can be split.
-    per_text = stored(hit.join(named, ["a", "b"], "left"), "per-text")
+    per_text = stored(hit.join(named, ["a", "b"], "left"), "per-text", rows)
     out = base.join(per_text, ["a", "b"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

@@ -631,3 +631,17 @@ def test_quality_on_tables(spark):
     marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
     got = [r for r in quality.op10_quality(spark, path).collect() if r.held_out and r.doc_id in marks]
     assert sum(r.predicted == marks[r.doc_id] for r in got) >= 0.97 * len(got)
+
+
+# Components
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    from dynspec.llm.components import components
+
+    hub = spark.range(1, 200_001).selectExpr("0L AS a", "id AS b")
+    chain = spark.range(500_000, 500_600).selectExpr("id AS a", "id + 1 AS b")
+    got = components(hub.unionAll(chain).unionAll(spark.sql("SELECT 7L AS a, 7L AS b UNION ALL SELECT null, 3L")))
+    counts = {r.root: r["count"] for r in got.groupBy("root").count().collect()}
+    assert counts == {0: 200_000, 500_000: 600}
+    assert components(hub.where("false")).count() == 0
