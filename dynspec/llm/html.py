@@ -1,15 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block of the page. Text lengths (links and boilerplate elements count nothing) are summed over sliding windows of
-lines; a surge is where the sums rise above ``SURGE``, a dive where they fall to nothing, and the stretch between them with the most text is
-the article's core. If a content element (``article``, ``main``, or one named as such) holds most of the core, its
-lines are added to those between surge and dive, so that short lines at either end stay and none of the core goes. Lines of menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
+Markup is stripped to lines, one per block of the page. A line weighs what text it has outside links; lines of menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments, known by their elements and the words of class, id and role, weigh nothing and are left out wherever they stand. Weights are summed over sliding windows of
+lines; a surge is where the sums rise to ``SURGE``, a dive where they fall to nothing, and the stretch between them with the most text is
+the article's core. Its edges are then moved outwards over short lines that go on as the core does (headings before it, paragraphs, items and the like in the same container), and over
+the ``article`` or ``main`` element that holds most of the core, if there is one: the density of text finds the article, markup says where it ends.
 
-Scanning is linear in the page: nothing is searched for twice from the same place, and open elements are kept on one stack.
+Scanning is linear in the page: nothing is searched for twice from the same place, open elements are kept on one stack, and sums come from running totals.
 
-Defined results: a null page is the empty one, and a page without text gives the empty string; an element left open lasts until the one around it
-ends; an unclosed comment or script lasts to the end; ``br`` ends a line; white space of any kind within a line becomes one
+Defined results: a null page is the empty one, and a page without text gives the empty string; where no sum rises to ``SURGE``, the text is that of the ``article`` or ``main``, or else of all lines that are not left out;
+an element left open lasts until the one around it
+ends; an unclosed comment or script lasts to the end; white space of any kind within a block, ``br`` included, becomes one
 space; repeated rows come back as often as they went in; an empty table gives an empty one; other columns are not read.
 """
 
@@ -19,6 +20,8 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +37,14 @@ HOLDS = 0.6
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
 SKIPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog"}
 BLOCKS = set(
-    "html body address article aside blockquote br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BAD_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice alert popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar comments comment disqus reply replies respond share sharing social related recommended newsletter subscribe signup login search".split()
 )
-GOOD_WORDS = {"article", "content", "post", "entry", "story", "main"}
+FLOW = set("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption summary caption".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 KEPT_AROUND = {"html", "body", "article", "main"}
 
@@ -52,25 +56,34 @@ _ENDS = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in RAW}
 
 
 def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's class, id and role say boilerplate, content."""
+    """Whether an element's class, id and role say boilerplate, and whether its role says content."""
     bad = good = False
     for kind, value in _MARK.findall(attributes):
         words = set(_WORD.findall(value.lower()))
         if kind.lower() == "role":
             bad, good = bad or bool(words & BAD_ROLES), good or bool(words & {"main", "article"})
         else:
-            bad, good = bad or bool(words & BAD_WORDS), good or bool(words & GOOD_WORDS)
+            bad = bad or bool(words & BAD_WORDS)
     return bad, good and not bad
 
 
+class _Line(NamedTuple):
+    text: str
+    weight: int
+    skip: bool
+    block: str  # the element that holds it
+    container: int  # what holds that
+
+
 class _Page:
-    """Lines of a page: text, weight, whether they are boilerplate, and the content elements around them."""
+    """Lines of a page and the content elements around them."""
 
     def __init__(self, html: str) -> None:
         self.html = html
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[_Line] = []
         self.held: list[list[int]] = []  # of each content element: its first line, the one after its last
-        self.stack: list[tuple[str, bool, int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []
+        self.opened = 0
         self.muted = 0  # open boilerplate elements within a line
         self.open: Counter = Counter()
         self.skips = 0
@@ -85,7 +98,8 @@ class _Page:
             joined = "".join(self.parts)
             text = " ".join((unescape(joined) if "&" in joined else joined).split())
             if text:
-                self.lines.append((text, self.plain, self.skips > 0))
+                skip = self.skips > 0
+                self.lines.append(_Line(text, 0 if skip else self.plain, skip, self.stack[-1][0] if self.stack else "", self.stack[-2][3] if len(self.stack) > 1 else 0))
         self.parts, self.plain = [], 0
 
     def _add(self, text: str) -> None:
@@ -96,7 +110,7 @@ class _Page:
             self.plain += len(text.strip())
 
     def _pop(self) -> None:
-        name, skip, held = self.stack.pop()
+        name, skip, held, _ = self.stack.pop()
         self.open[name] -= 1
         if name in BLOCKS or name in SKIPPED:
             self.skips -= skip
@@ -122,6 +136,8 @@ class _Page:
             self._flush()
         if name == "a":
             self.link = True
+        if name == "br":
+            self._add(" ")
         if name in VOID or closed and not block:
             return
         bad, good = _marks(attributes) if attributes else (False, False)
@@ -134,10 +150,11 @@ class _Page:
         if block and self.stack and self.stack[-1][0] == "p":
             self._pop()
         held = -1
-        if name in ("article", "main") or good and block and name != "body":
+        if name in ("article", "main") and not bad or good and block and name != "body":
             held = len(self.held)
             self.held.append([len(self.lines), -1])
-        self.stack.append((name, bad, held))
+        self.opened += 1
+        self.stack.append((name, bad, held, self.opened))
         self.open[name] += 1
         if block or name in SKIPPED:
             self.skips += bad
@@ -194,38 +211,42 @@ class _Page:
 
 
 def _core(weights: list[int]) -> tuple[int, int]:
-    """The lines between the surge and the dive around the most text."""
-    n, best, most = len(weights), (0, 0), 0
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    i = 0
+    """The lines between the surge and the dive around the most text: from the first line with text in a window whose sum reaches ``SURGE`` to the last before one whose sum is 0."""
+    total = [0, *accumulate(weights)]
+    n, best, most, i = len(weights), (0, 0), 0, 0
+    window = lambda at: total[min(n, at + WINDOW)] - total[at]
     while i < n:
-        if sums[i] < SURGE:
+        if window(i) < SURGE:
             i += 1
             continue
         start = i
-        while start < n and not weights[start]:
+        while not weights[start]:
             start += 1
-        while i < n and sums[i] > 0:
+        while i < n and window(i):
             i += 1
-        total = sum(weights[start:i])
-        if total > most:
-            most, best = total, (start, i)
+        if total[i] - total[start] > most:
+            most, best = total[i] - total[start], (start, i)
     return best
 
 
-def main_text(html: str | None) -> str:
-    """The main text of one page, its blocks joined by line ends."""
+def main_text(html: str | None, elements: bool = True) -> str:
+    """The main text of one page, its blocks joined by line ends. Without ``elements``, ``article`` and ``main`` count as any other block."""
     page = _Page(html or "")
-    weights = [0 if skip else plain for _, plain, skip in page.lines]
-    first, last = _core(weights)
-    core = sum(weights[first:last])
-    around = [(b - a, a, b) for a, b in page.held if sum(weights[max(a, first) : min(b, last)]) >= HOLDS * core and any(not s for _, _, s in page.lines[a:b])]
-    if around:
-        _, a, b = min(around)
-        first, last = min(first, a), max(last, b)
+    lines, total = page.lines, [0, *accumulate(x.weight for x in page.lines)]
+    first, last = _core([x.weight for x in lines])
+    core, within = total[last] - total[first], {x.container for x in lines[first:last] if x.weight}
+    if core:
+        while first and (lines[first - 1].skip or lines[first - 1].block in HEADINGS or lines[first - 1].block in FLOW and lines[first - 1].container in within):
+            first -= 1
+        while last < len(lines) and (lines[last].skip or lines[last].block in FLOW and lines[last].container in within):
+            last += 1
+    held = [(b - a, a, b) for a, b in page.held if total[max(a, min(b, last))] - total[min(b, max(a, first))] >= HOLDS * core and b > a] if elements else []
+    if held:
+        _, a, b = min(held) if core else max(held)
+        first, last = (min(first, a), max(last, b)) if core else (a, b)
     elif not core:
-        first, last = 0, len(page.lines)
-    return "\n".join(text for text, _, skip in page.lines[first:last] if not skip)
+        first, last = 0, len(lines)
+    return "\n".join(x.text for x in lines[first:last] if not x.skip)
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
