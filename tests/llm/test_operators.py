@@ -700,6 +700,55 @@ def test_quality_held_out(spark):
     assert {r.score for r in quality.with_score(given, empty).collect()} == {0.5}
 
 
+def brute_scores(model, texts):
+    """Votes by the definition: one text and one labelled vector at a time."""
+    out = []
+    for t in texts:
+        x = np.zeros(quality.WORDS + quality.SHAPES)
+        for k, n in quality.terms_of(t).items():
+            x[k] = n**0.5
+        y = np.zeros_like(x)
+        for kind in model.kinds:
+            part = x[quality.KINDS[kind]] * model.weight[quality.KINDS[kind]]
+            y[quality.KINDS[kind]] = part / (np.sqrt(part @ part) or 1)
+        v = y @ model.axes
+        v = v / (np.sqrt(v @ v) or 1)
+        near = sorted(((max(0.0, round(float(v @ w), 5)), q) for w, q in zip(model.vectors, model.labels)), reverse=True)
+        last = near[min(model.neighbours, len(near)) - 1][0]
+        votes = [(s, q) for s, q in near if s >= last and s > 0]
+        out.append(sum(s * q for s, q in votes) / sum(s for s, _ in votes) if votes else float(model.labels.mean()))
+    return out
+
+
+def test_quality_against_brute_force():
+    rng = random.Random(17)
+    texts = [words(rng, rng.choice([1, 4, 60]), 300) for _ in range(120)] + ["same words here"] * 20 + ["", None, "!!! %%% 123", "ÄÖ é", "Word " * 50_000]
+    labels = np.array([rng.randrange(2) for _ in texts], float)
+    for kinds in (("words", "shapes"), ("words",), ("shapes",)):
+        model = quality.Model.fit(quality.rows_of(texts[:100] + texts[120:140]), np.concatenate([labels[:100], labels[120:140]]), 15, kinds)
+        got, want = model.scores(quality.rows_of(texts)), brute_scores(model, texts)
+        # A similarity that rounds the other way may let one more neighbour vote.
+        assert sum(abs(a - b) > 1e-4 for a, b in zip(got, want)) <= 2, kinds
+        assert len(set(np.round(got[120:140], 9))) == 1  # equal texts, tied with each other
+
+
+def test_quality_tells_words_of_one_shape_apart():
+    rng = random.Random(18)
+    good, bad = ([f"{c}{''.join(rng.choice('abcd') for _ in range(5))}" for _ in range(40)] for c in "xy")
+    texts = [" ".join(rng.choice(pool) for _ in range(50)) for pool in (good, bad) for _ in range(60)]
+    labels = np.array([1.0] * 60 + [0.0] * 60)
+    x = quality.rows_of(texts)
+    model = quality.Model.fit(x[::2], labels[::2], 15)
+    assert ((model.scores(x[1::2]) >= 0.5) == labels[1::2]).all()
+
+
+def test_quality_of_no_documents(spark):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs(spark, []), labels)
+    assert quality.with_score(docs(spark, []), model).count() == 0
+    assert [r.score for r in quality.with_score(docs(spark, [(1, "a")]), model).collect()] == [0.5]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_quality_on_tables(spark):
     path = SF.replace("0.001", "0.01")
