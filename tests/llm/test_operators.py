@@ -283,6 +283,32 @@ def test_similar_long_lists_keep_every_link(spark, monkeypatch):
     assert joined(spark, rows) == want
 
 
+def test_similar_group_of_edited_copies(spark, monkeypatch):
+    """Copies of one text with 0 to 8 edited words, most pairs of them below the threshold, and texts that share three quarters of it: against all pairs."""
+    monkeypatch.setattr(similar, "LIST_LIMIT", 8)
+    rng = random.Random(25)
+    base, texts = words(rng, 100, 5000).split(), []
+    for c in range(60):
+        w = list(base)
+        for p in rng.sample(range(100), rng.randrange(9)):
+            w[p] = f"z{c}x{p}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:75]) + " " + words(rng, rng.randrange(5, 40), 5000) for _ in range(40)]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in range(len(texts)):
+        for y in range(x):
+            if jaccard(texts[x], texts[y]) >= 0.8:
+                a, b = root(x), root(y)
+                up[max(a, b)] = min(a, b)
+    assert joined(spark, list(enumerate(texts))) == {x: root(x) for x in range(len(texts))}
+
+
 def test_similar_repeated_lines_count_once(spark):
     rng = random.Random(23)
     rows = []
