@@ -19,14 +19,13 @@ TASK_ROWS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``. Where neither is set, a temporary one in local mode; a cluster has no such folder, so there it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        known = spark.sparkContext.getCheckpointDir()
-        found = known or tempfile.mkdtemp(prefix="dynspec-checkpoint-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dynspec-checkpoint-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 

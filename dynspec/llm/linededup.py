@@ -8,7 +8,7 @@ from every document but the one with the smallest id that has it, so no text is
 Defined results: lines are parted by \\n and compared without surrounding spaces; lines of fewer than ``min_chars`` code points are never
 removed, blank ones included; the null site is a site; a null id is never the smallest unless all are null, and then the line goes everywhere; a null
 text stays null; a text that loses all its lines becomes empty; repeated rows are treated alike; an empty table stays empty.
-All input columns are kept; names that start with ``_line_`` are reserved, and ``n_removed`` is added or replaced.
+All input columns are kept; names that start with ``_line_`` are reserved, and ``n_removed`` (or the name given) is added or replaced; lines and texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -46,18 +46,18 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionAll(wide.join(exact.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "first"))
 
 
-def remove_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, and ``n_removed``."""
+def remove_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, removed: str = "n_removed") -> DataFrame:
+    """``docs`` with boilerplate lines taken out of the text, and how many in a column ``removed``."""
     lines = _lines(docs, doc_id, text, site, min_chars)
     found = stored(boilerplate(lines, min_sites), "boilerplate")
     gone = lines.join(found, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("id").alias("_line_id"), F.col("ta").alias("_line_a"), F.col("tb").alias("_line_b")).agg(F.collect_set("at").alias("_line_at"))
-    rows = docs.drop("n_removed").withColumn("_line_key", text_key(F.col(text)))
+    rows = docs.drop(removed).withColumn("_line_key", text_key(F.col(text)))
     same = F.col(doc_id).eqNullSafe(F.col("_line_id")) & (F.col("_line_key.a") == F.col("_line_a")) & (F.col("_line_key.b") == F.col("_line_b"))
     met = rows.join(gone, same, "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_line_at", i)), "\n")
-    met = met.withColumn(text, F.when(F.col("_line_at").isNull(), F.col(text)).otherwise(left)).withColumn("n_removed", F.coalesce(F.size("_line_at"), F.lit(0)).cast("long"))
-    return met.withColumn("n_removed", F.when(F.col("_line_at").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed"))).drop("_line_key", "_line_id", "_line_a", "_line_b", "_line_at")
+    met = met.withColumn(text, F.when(F.col("_line_at").isNull(), F.col(text)).otherwise(left))
+    return met.withColumn(removed, F.when(F.col("_line_at").isNull(), F.lit(0)).otherwise(F.size("_line_at")).cast("long")).drop("_line_key", "_line_id", "_line_a", "_line_b", "_line_at")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

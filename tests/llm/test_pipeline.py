@@ -75,6 +75,24 @@ def test_mixing_stage(spark, sf_dir):
     assert rows_of(out) == rows_of(corpus_pipeline.mixing_stage(spark, docs(spark, rows), sf_dir[0]))
 
 
+def test_near_duplicate_stage_keeps_each_text_of_an_id(spark, sf_dir):
+    rng = random.Random(6)
+    rows = [(1, words(rng, 60, 5000)), (1, words(rng, 60, 5000)), (2, words(rng, 60, 5000))]
+    out = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), sf_dir[0])
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(rows)
+
+
+def test_stages_of_empty_tables_and_clashing_names(spark, sf_dir):
+    rng = random.Random(7)
+    plain = docs(spark, [(i, f"{words(rng, 30, 4000)}\n{words(rng, 30, 4000)}", f"s{i % 3}") for i in range(30)] + [(None, None, None), (40, "", "s1"), (41, words(rng, 20_000, 4000), "s1")])
+    odd = plain.drop("n_chars").selectExpr("*", "1 AS _score", "2 AS n_removed", "3 AS _id", "4 AS _a", "5 AS _b", "6 AS _key", "7 AS h", "8 AS root")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.where("false"), sf_dir[0]).count() == 0
+        out = stage(spark, odd, sf_dir[0])
+        assert out.columns == odd.columns
+        assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in stage(spark, plain, sf_dir[0]).collect())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_whole_pipeline(spark):
     given = spark.read.parquet(f"{SF}/documents.parquet")
