@@ -203,8 +203,13 @@ class ObsHeader:
 
 def nearest_factor(n: int, target: int) -> int:
     """The divisor of ``n`` nearest to ``target``; of two as near, the smaller."""
-    found = [d for i in range(1, int(n**0.5) + 1) if n % i == 0 for d in (i, n // i)]
-    return min(found, key=lambda d: (abs(d - target), d))
+    off, near = 0, max(1, min(n, target))
+    while True:
+        if near > off and n % (near - off) == 0:
+            return near - off
+        if n % (near + off) == 0:
+            return near + off
+        off += 1
 
 
 def next_power_of_two(n: int) -> int:

@@ -45,15 +45,20 @@ def read_chan(spectra: DataFrame, header: ObsHeader, chan: int) -> DataFrame:
     return spectra.select("obs_id", "t", F.col("spec")[chan].alias("v"))
 
 
-def read_block(spectra: DataFrame, header: ObsHeader, start: int, nsamps: int, fch1: float | None = None, nchans: int | None = None) -> tuple[DataFrame, ObsHeader]:
-    """Row-local: a rectangle of samples and channels, with its header."""
+def block_header(header: ObsHeader, start: int, nsamps: int, fch1: float | None = None, nchans: int | None = None) -> tuple[int, int, ObsHeader]:
+    """First channel, number of channels and header of a rectangle of samples and channels."""
     first = 0 if fch1 is None else round((fch1 - header.fch1) / header.foff)
     count = header.nchans - first if nchans is None else nchans
     _check(0 <= start and nsamps >= 0 and start + nsamps <= header.nsamples, "samples out of range")
     _check(0 <= first and count > 0 and first + count <= header.nchans, "channels out of range")
-    cut = spectra.where(F.col("t").between(start, start + nsamps - 1))
-    cut = cut.select("obs_id", (F.col("t") - start).alias("t"), F.slice("spec", first + 1, count).alias("spec"))
-    return cut, header.updated(tstart=header.mjd_after(start), nsamples=nsamps, fch1=header.fch1 + first * header.foff, nchans=count)
+    return first, count, header.updated(tstart=header.mjd_after(start), nsamples=nsamps, fch1=header.fch1 + first * header.foff, nchans=count)
+
+
+def read_block(spectra: DataFrame, header: ObsHeader, start: int, nsamps: int, fch1: float | None = None, nchans: int | None = None) -> tuple[DataFrame, ObsHeader]:
+    """Row-local: a rectangle of samples and channels, with its header."""
+    first, count, cut = block_header(header, start, nsamps, fch1, nchans)
+    inside = spectra.where(F.col("t").between(start, start + nsamps - 1))
+    return inside.select("obs_id", (F.col("t") - start).alias("t"), F.slice("spec", first + 1, count).alias("spec")), cut
 
 
 def extract_samples(spectra: DataFrame, header: ObsHeader, start: int, nsamps: int) -> tuple[DataFrame, ObsHeader]:
@@ -102,20 +107,20 @@ def channel_stats(fb: DataFrame, mode: str = "full") -> DataFrame:
 
 
 def partial_stats(fb: DataFrame, *keys: str) -> DataFrame:
-    """Mergeable sums of each channel (and of ``keys``): combine them with ``merge_stats``."""
-    powers = [F.sum(F.pow("v", F.lit(float(i)))).alias(f"s{i}") for i in (1, 2, 3, 4)]
-    return fb.groupBy("obs_id", *keys, "c").agg(F.count("v").alias("n"), *powers, F.min("v").alias("min"), F.max("v").alias("max"))
+    """Mergeable statistics of each channel (and of ``keys``): combine them with ``merge_stats``. Moments are about a part's own mean, so that large means cancel nothing."""
+    made = channel_stats(fb.withColumn("c", F.struct(*keys, "c")) if keys else fb)
+    spread = F.col("n") * F.col("var")
+    return made.select("obs_id", *[F.col(f"c.{k}").alias(k) for k in keys], (F.col("c.c") if keys else F.col("c")).alias("c"), "n", "mean", spread.alias("m2"), (F.col("skew") * spread * F.sqrt("var")).alias("m3"), ((F.col("kurt") + 3) * spread * F.col("var")).alias("m4"), "min", "max")
 
 
 def merge_stats(partials: DataFrame) -> DataFrame:
-    """Channel statistics of any number of partial sums."""
-    s = partials.groupBy("obs_id", "c").agg(*[F.sum(x).alias(x) for x in ("n", "s1", "s2", "s3", "s4")], F.min("min").alias("min"), F.max("max").alias("max"))
-    m = F.col("s1") / F.col("n")
-    m2 = F.col("s2") / F.col("n") - m * m
-    m3 = F.col("s3") / F.col("n") - 3 * m * F.col("s2") / F.col("n") + 2 * m * m * m
-    m4 = F.col("s4") / F.col("n") - 4 * m * F.col("s3") / F.col("n") + 6 * m * m * F.col("s2") / F.col("n") - 3 * m * m * m * m
-    flat = m2 <= 0
-    return s.select("obs_id", "c", "n", m.alias("mean"), m2.alias("var"), F.when(flat, 0.0).otherwise(m3 / F.pow(m2, F.lit(1.5))).alias("skew"), F.when(flat, -3.0).otherwise(m4 / (m2 * m2) - 3).alias("kurt"), "min", "max")
+    """Channel statistics of any number of partial ones."""
+    whole = partials.groupBy("obs_id", "c").agg(F.sum("n").alias("total"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("centre"))
+    d, n, m2, m3 = F.col("mean") - F.col("centre"), F.col("n"), F.col("m2"), F.col("m3")
+    moved = {"m2": m2 + n * d * d, "m3": m3 + 3 * d * m2 + n * d * d * d, "m4": F.col("m4") + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d}
+    s = partials.join(whole, ["obs_id", "c"]).groupBy("obs_id", "c").agg(F.max("total").alias("n"), F.max("centre").alias("mean"), *[F.sum(x).alias(k) for k, x in moved.items()], F.min("min").alias("min"), F.max("max").alias("max"))
+    var, flat = F.col("m2") / F.col("n"), F.col("m2") <= 0
+    return s.select("obs_id", "c", "n", "mean", var.alias("var"), F.when(flat, 0.0).otherwise(F.col("m3") / F.col("n") / F.pow(var, F.lit(1.5))).alias("skew"), F.when(flat, -3.0).otherwise(F.col("m4") / F.col("n") / (var * var) - 3).alias("kurt"), "min", "max")
 
 
 def _runs(delays: np.ndarray, cuts: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
@@ -255,3 +260,11 @@ def fold(spectra: DataFrame, header: ObsHeader, period: float, dm: float, accel:
     axis = lambda n, name: spark.range(n).select(F.col("id").cast("int").alias(name))
     grid = cells.select("obs_id").distinct().crossJoin(F.broadcast(axis(nints, "subint").crossJoin(axis(nbands, "band")).crossJoin(axis(nbins, "bin"))))
     return grid.join(cells, ["obs_id", "subint", "band", "bin"], "left").select("obs_id", "subint", "band", "bin", "v", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def pad_samples(fb: DataFrame, nsamples: int, total: int, offset: int, method: str = "median") -> DataFrame:
+    """The block from sample ``offset`` on among ``total``; the others get the median or mean of their channel."""
+    from . import series
+
+    _check(method in ("median", "mean"), "method must be median or mean")
+    return series.pad(fb, nsamples, total, method, offset, ("c",))

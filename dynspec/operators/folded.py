@@ -24,8 +24,9 @@ def freq_phase(cube: DataFrame) -> DataFrame:
 
 def marginals(cube: DataFrame) -> DataFrame:
     """All three at once, by grouping sets; the summed axes are null."""
-    cube.createOrReplaceTempView("_dynspec_cube")
-    return cube.sparkSession.sql("SELECT obs_id, subint, band, bin, sum(v) AS v FROM _dynspec_cube GROUP BY GROUPING SETS ((obs_id, bin), (obs_id, subint, bin), (obs_id, band, bin))")
+    keys = {c: F.col(c) for c in ("obs_id", "subint", "band", "bin")}
+    sets = [[keys[c] for c in kept] for kept in (("obs_id", "bin"), ("obs_id", "subint", "bin"), ("obs_id", "band", "bin"))]
+    return cube.groupingSets(sets, *keys.values()).agg(F.sum("v").alias("v"))
 
 
 def get_subint(cube: DataFrame, i: int) -> DataFrame:

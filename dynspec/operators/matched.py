@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..meta import good_size, width_ladder
 from .robust import zscore
+from .series import framed
 
 FWHM = 2 * np.sqrt(2 * np.log(2))
 
@@ -22,9 +23,10 @@ def boxcar_snr(series: DataFrame, nsamples: int, widest: int = 32, factor: float
     widths = width_ladder(min(widest, nsamples - 1), factor)
     z = zscore(series, ["obs_id"], loc_method, scale_method).select("obs_id", "t", "z")
     mean = z.groupBy("obs_id").agg(F.avg("z").alias("zm"))
-    round_ = z.withColumn("t", F.explode(F.array_compact(F.array(F.col("t").cast("long"), F.when(F.col("t") < widths[-1] - 1, F.col("t") + nsamples).cast("long")))))
-    over = lambda w: W.partitionBy("obs_id").orderBy("t").rowsBetween(0, w - 1)
-    sums = round_.select("obs_id", "t", *[F.sum("z").over(over(w)).alias(f"s{i}") for i, w in enumerate(widths)]).where(F.col("t") < nsamples)
+    # Sums of all widths in blocks of samples: a record is not one task's.
+    over = lambda w: W.partitionBy("obs_id", "b").orderBy("p").rowsBetween(0, w - 1)
+    sums = framed(z.withColumnRenamed("z", "v"), nsamples, 0, widths[-1] - 1, lambda _: F.array(*[F.sum("v").over(over(w)) for w in widths]), "circular")
+    sums = sums.select("obs_id", "t", *[F.col("v")[i].alias(f"s{i}") for i in range(len(widths))])
     made = F.explode(F.array(*[F.struct(F.lit(i).alias("itemp"), F.lit(w).alias("width"), F.col(f"s{i}").alias("s")) for i, w in enumerate(widths)]))
     rows = sums.select("obs_id", "t", made.alias("x")).select("obs_id", "t", "x.*").join(F.broadcast(mean), "obs_id")
     norm = F.sqrt(F.col("width") * (1 - F.col("width") / F.lit(float(nsamples))))
@@ -69,6 +71,29 @@ def templates(kind: str, widest: float = 32, factor: float = 1.5) -> list[tuple[
     return [(w, *template(kind, w)) for w in widths]
 
 
+def best_model(best: DataFrame, kind: str, nsamples: int) -> DataFrame:
+    """``(obs_id, t, v)``: the normalised template of each row of ``best_pulse``, its reference at the peak, going round."""
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                shape, ref = template(kind, r.width)
+                if len(shape) > nsamples:
+                    raise ValueError("the template is longer than the series")
+                long = np.zeros(nsamples)
+                long[: len(shape)] = shape
+                yield pd.DataFrame({"obs_id": r.obs_id, "t": np.arange(nsamples), "v": np.roll(normalise_template(long), r.peak_bin - ref)})
+
+    return best.select("obs_id", "width", "peak_bin").mapInPandas(run, "obs_id string, t long, v double")
+
+
+def on_pulse(best: DataFrame, kind: str, nsamples: int) -> DataFrame:
+    """``best`` with ``on_start`` and ``on_end`` (exclusive): a boxcar's own samples, or a width to either side of a peak, inside the series."""
+    wide = F.rint("width")
+    low, high = (F.col("peak_bin"), F.col("peak_bin") + F.col("width")) if kind == "boxcar" else (F.col("peak_bin") - wide, F.col("peak_bin") + wide)
+    return best.withColumn("on_start", F.greatest(F.lit(0), low).cast("long")).withColumn("on_end", F.least(F.lit(nsamples), high).cast("long"))
+
+
 def convolve(z: np.ndarray, bank: list[tuple[float, np.ndarray, int]]) -> np.ndarray:
     """Templates x samples: circular correlations with each normalised template."""
     n = len(z)
@@ -96,6 +121,18 @@ def matched_filter(series: DataFrame, kind: str = "gaussian", widest: float = 32
     return z.groupBy("obs_id").applyInPandas(run, "obs_id string, itemp int, width double, t long, snr double")
 
 
+def convolve_series(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(obs_id, t, v)``: the full convolution of two series of a record, by transforms; a pair is one task's."""
+    both = a.select("obs_id", "t", "v", F.lit(0).alias("side")).unionAll(b.select("obs_id", "t", "v", F.lit(1).alias("side")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        v = fftconvolve(*(pdf.loc[pdf["side"] == i, "v"].to_numpy(float) for i in (0, 1)))
+        return pd.DataFrame({"obs_id": pdf["obs_id"].iloc[0], "t": np.arange(len(v)), "v": v})
+
+    return both.groupBy("obs_id").applyInPandas(run, "obs_id string, t long, v double")
+
+
 def fftconvolve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The full convolution; of nothing, nothing."""
     if not len(a) or not len(b):

@@ -57,13 +57,14 @@ def rfi_mask(fb: DataFrame, header: ObsHeader, method: str = "mad", threshold: f
     """
     if method not in ("mad", "iqrm"):
         raise ValueError("method must be mad or iqrm")
-    stats = channel_stats(fb)
+    # A row a channel, which every rule reads several times: made once, and again only where an executor is lost.
+    stats = channel_stats(fb).persist()
     judge = double_mad_mask if method == "mad" else iqrm_mask
     out = stats.join(F.broadcast(frequency_mask(channels(fb.sparkSession, header), freq_ranges)), "c")
-    for name in ("var", "skew", "kurt"):
-        flags = judge(stats.select("obs_id", "c", name), ("obs_id",), name, threshold).select("obs_id", "c", F.col("masked").alias(f"_{name}"))
-        out = out.join(flags, ["obs_id", "c"])
-    out = out.withColumn("stats", F.col("_var") | F.col("_skew") | F.col("_kurt")).drop("_var", "_skew", "_kurt")
+    # All three statistics are judged in one pass, each a group of its own.
+    each = stats.select("obs_id", "c", F.expr("stack(3, 'var', var, 'skew', skew, 'kurt', kurt) AS (name, x)"))
+    flags = judge(each, ("obs_id", "name"), "x", threshold).groupBy("obs_id", "c").agg(F.bool_or("masked").alias("stats"))
+    out = out.join(F.broadcast(flags), ["obs_id", "c"])
     if custom is None:
         return out.withColumn("custom", F.lit(False)).withColumn("masked", F.col("user") | F.col("stats"))
     so_far = [r.m for r in out.groupBy("c").agg(F.bool_or(F.col("user") | F.col("stats")).alias("m")).orderBy("c").collect()]

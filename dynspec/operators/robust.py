@@ -17,6 +17,8 @@ MAD_NORMAL = 0.6744897501960817
 MEAN_DEVIATION_NORMAL = math.sqrt(2 / math.pi)
 QN_NORMAL = 0.4506241100243562
 SN_NORMAL = 1.1926
+#: Values of a group whose pairs are formed at most.
+MOST_PAIRED = 1 << 14
 BIWEIGHT_TUNING = 9.0
 
 
@@ -73,8 +75,10 @@ def _biweight(data: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def _pairs(data: DataFrame, by: Sequence[str], value: str, order: str) -> DataFrame:
-    """Differences of all pairs of a group, each value with itself included: for groups of the size of a band."""
-    left = data.select(*by, F.col(order).alias("_i"), F.col(value).alias("_x"))
+    """Differences of all pairs of a group, each value with itself included: for groups of the size of a band. A larger group is refused, with an error when it is met."""
+    n = data.groupBy(*by).agg(F.count("*").alias("_n"))
+    fits = F.when(F.col("_n") <= MOST_PAIRED, True).otherwise(F.raise_error(F.lit(f"a group has more than {MOST_PAIRED} values, too many to pair")).cast("boolean"))
+    left = _same(data.select(*by, F.col(order).alias("_i"), F.col(value).alias("_x")), n, by).where(fits).drop("_n")
     right = data.select(*by, F.col(order).alias("_j"), F.col(value).alias("_y"))
     return _same(left, right, by).select(*by, "_i", "_j", F.abs(F.col("_x") - F.col("_y")).alias("_d"))
 

@@ -18,7 +18,7 @@ from ..meta import LIGHT_SPEED, ObsHeader, good_size
 BLOCK = 1 << 16
 
 
-def _framed(series: DataFrame, nsamples: int, before: int, after: int, made: Callable[[W], Column], ends: str = "reflect") -> DataFrame:
+def framed(series: DataFrame, nsamples: int, before: int, after: int, made: Callable[[W], Column], ends: str = "reflect") -> DataFrame:
     """``made`` over the frame from ``before`` samples back to ``after`` ahead; past the ends the series is reflected (the end sample repeats) or, ``circular``, goes round."""
     if max(before, after) > nsamples:
         raise ValueError("the window is longer than the series")
@@ -37,6 +37,16 @@ def _framed(series: DataFrame, nsamples: int, before: int, after: int, made: Cal
     return out.select("obs_id", F.col("p").alias("t"), F.col("r").alias("v"))
 
 
+def lagged(rows: DataFrame, order: str, columns: list[str], default: Column) -> DataFrame:
+    """``rows`` with ``last_<column>``: the value of the row numbered one less (``default`` where there is none). Numbers have no gaps; a record is cut into blocks,
+    each with the last row of the one before."""
+    block = lambda x: F.floor(x / BLOCK)
+    spread = rows.withColumn("_b", F.explode(F.array_distinct(F.array(block(F.col(order)), block(F.col(order) + 1)))))
+    w = W.partitionBy("obs_id", "_b").orderBy(order)
+    made = spread.select("*", *[F.coalesce(F.lag(c).over(w), default).alias(f"last_{c}") for c in columns])
+    return made.where(block(F.col(order)) == F.col("_b")).drop("_b")
+
+
 def _middle(values: Column, size: int) -> Column:
     s = F.array_sort(values)
     return s[size // 2] if size % 2 else (s[size // 2 - 1] + s[size // 2]) / 2
@@ -48,8 +58,8 @@ def running_filter(series: DataFrame, nsamples: int, window: int, method: str =
         raise ValueError("the window must be positive and the method mean or median")
     before, after = window // 2, window // 2 - (window % 2 == 0)
     if method == "mean":
-        return _framed(series, nsamples, before, after, lambda w: F.avg("v").over(w))
-    return _framed(series, nsamples, before, after, lambda w: _middle(F.collect_list("v").over(w), window))
+        return framed(series, nsamples, before, after, lambda w: F.avg("v").over(w))
+    return framed(series, nsamples, before, after, lambda w: _middle(F.collect_list("v").over(w), window))
 
 
 def downsample(series: DataFrame, nsamples: int, factor: int, method: str = "mean") -> DataFrame:
@@ -100,14 +110,15 @@ def detrend(data: DataFrame, by: list[str], order: str = "t", value: str = "v")
     return data.join(fit, by).withColumn(value, F.col(value) - F.col("_y") - F.col("_m") * (F.col(order) - F.col("_x"))).drop("_m", "_y", "_x")
 
 
-def pad(series: DataFrame, nsamples: int, total: int, method: str = "mean", offset: int = 0) -> DataFrame:
-    """The series from ``offset`` on among ``total`` samples; the others get its mean, median or, ``zero``, 0."""
-    fill = {"mean": F.avg("v"), "median": F.median("v"), "zero": F.lit(0.0)}
+def pad(series: DataFrame, nsamples: int, total: int, method: str = "mean", offset: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """The series from ``offset`` on among ``total`` samples; the others get its mean, median or, ``zero``, 0. With ``by`` (``c``, say) each group is a series of its own."""
+    fill = {"mean": F.avg("v"), "median": F.median("v"), "zero": F.max(F.lit(0.0))}
     if method not in fill or total < nsamples + offset:
         raise ValueError("the method must be mean, median or zero and the total hold the series")
-    level = series.groupBy("obs_id").agg((fill[method] if method != "zero" else F.max(F.lit(0.0))).alias("fill"))
-    grid = level.select("obs_id", "fill", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))).alias("t"))
-    return grid.join(series.withColumn("t", F.col("t") + offset), ["obs_id", "t"], "left").select("obs_id", "t", F.coalesce("v", "fill").alias("v"))
+    keys = ["obs_id", *by]
+    level = series.groupBy(*keys).agg(fill[method].alias("fill"))  # a row a series
+    grid = level.sparkSession.range(total).withColumnRenamed("id", "t").crossJoin(F.broadcast(level))
+    return grid.join(series.withColumn("t", F.col("t") + offset), [*keys, "t"], "left").select("obs_id", "t", *by, F.coalesce("v", "fill").alias("v"))
 
 
 def resample(series: DataFrame, header: ObsHeader, accel: float) -> DataFrame:
@@ -119,7 +130,7 @@ def resample(series: DataFrame, header: ObsHeader, accel: float) -> DataFrame:
     half = total // 2
     i = F.col("t").cast("double")
     place = (i + F.lit(p) * ((i - half) * (i - half)) - F.lit(p * half * half)).cast("long")
-    moved = series.select("obs_id", "t", "v", place.alias("to")).withColumn("last", F.coalesce(F.lag("to").over(W.partitionBy("obs_id").orderBy("t")), F.lit(0)))
+    moved = lagged(series.select("obs_id", "t", "v", place.alias("to")), "t", ["to"], F.lit(0)).withColumnRenamed("last_to", "last")
     writes = moved.select("obs_id", F.explode(F.array_compact(F.array(F.struct("to", "t", F.lit(0).alias("gap"), "v"), F.when(F.col("to") - F.col("last") > 1, F.struct((F.col("to") - 1).alias("to"), "t", F.lit(1).alias("gap"), "v"))))).alias("w"))
     placed = writes.select("obs_id", F.col("w.to").alias("t"), "w").where(F.col("t").between(0, total - 1))
     placed = placed.groupBy("obs_id", "t").agg(F.max_by("w.v", F.struct("w.t", "w.gap")).alias("v"))

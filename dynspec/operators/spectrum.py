@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import amplitude, complex_product
 from ..meta import ObsHeader
+from .series import lagged
 
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -25,8 +26,8 @@ def form_spec(fseries: DataFrame, interpolate: bool = False) -> DataFrame:
     """``spectrum`` of amplitudes; interpolated: the greater of a bin's own and half the power between it and the last."""
     if not interpolate:
         return fseries.select("obs_id", F.lit(0).alias("nfold"), "k", amplitude(F.col("re"), F.col("im")).alias("p"))
-    w = W.partitionBy("obs_id").orderBy("k")
-    dr, di = F.col("re") - F.lag("re", 1, 0.0).over(w), F.col("im") - F.lag("im", 1, 0.0).over(w)
+    fseries = lagged(fseries, "k", ["re", "im"], F.lit(0.0))
+    dr, di = F.col("re") - F.col("last_re"), F.col("im") - F.col("last_im")
     power = F.greatest(F.col("re") * F.col("re") + F.col("im") * F.col("im"), (dr * dr + di * di) / 2)
     return fseries.select("obs_id", F.lit(0).alias("nfold"), "k", F.sqrt(power).alias("p"))
 

@@ -23,14 +23,16 @@ def periodicity(spectra: DataFrame, header: ObsHeader, dm: float, nfolds: int =
     padded = head.updated(nsamples=size)
     bins = size // 2 + 1
     white = spectrum.deredden(series.rfft(flat, size), padded, bins)
-    sums = spectrum.harmonic_fold(spectrum.form_spec(white, True), bins, nfolds)
+    # Every sum of harmonics reads the spectrum again: it is kept (memory and disk), and made again only where an executor is lost.
+    sums = spectrum.harmonic_fold(spectrum.form_spec(white, True).persist(), bins, nfolds)
     peaks = spectrum.top_peaks(sums.where("k > 0"), top)
     return peaks.withColumn("freq", F.col("k") / F.lit(padded.tobs))
 
 
 def fold_candidate(spectra: DataFrame, header: ObsHeader, period: float, dm: float, nbins: int = 50, nints: int = 32, nbands: int = 32) -> tuple[DataFrame, DataFrame]:
     """The centred cube of a candidate and its best profile signal-to-noise ratio."""
-    cube = folded.replace_nan(filterbank.fold(spectra, header, period, dm, 0.0, nbins, nints, nbands))
+    # Small (a cell per sub-integration, band and bin) and read by the profile, its filter and the turn: made once.
+    cube = folded.replace_nan(filterbank.fold(spectra, header, period, dm, 0.0, nbins, nints, nbands)).persist()
     turned = folded.centre(cube, nbins)
     snr = matched.best_pulse(matched.boxcar_snr(folded.profile(turned).withColumnRenamed("bin", "t"), nbins, nbins // 2))
     return turned, snr

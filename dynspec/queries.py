@@ -305,11 +305,31 @@ def fold_update_period(s, h):
     return folded.update_period(cube_of(s, h), h.updated(period=PERIOD), 0.0502, NINTS, NBINS)
 
 
-@query()
+def turned_sql(cube: str) -> str:
+    """SQL for ``turned``: the cells of the table ``cube``, their bins turned so that the middle of the best boxcar stands in the middle."""
+    widths = width_ladder(NBINS // 2)
+    return f"""pf AS (SELECT bin, sum(v) AS v FROM {cube} GROUP BY bin), pq AS (SELECT median(v) AS m, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / {robust.IQR_NORMAL} AS sc FROM pf),
+pz AS (SELECT bin, (v - m) / sc AS z FROM pf, pq), pw AS (SELECT unnest({list(range(len(widths)))}) AS itemp, unnest({widths}) AS width),
+ps AS (SELECT itemp, width, a.bin, (sum(b.z) - width * (SELECT avg(z) FROM pz)) / sqrt(width * (1 - width / {NBINS}.0)) AS snr FROM pw, pz a JOIN pz b ON (b.bin - a.bin + {NBINS}) % {NBINS} < width GROUP BY itemp, width, a.bin),
+pt AS (SELECT {NBINS // 2} - (bin + width // 2) AS turn FROM ps ORDER BY round(snr, 9) DESC, itemp, bin LIMIT 1),
+turned AS (SELECT subint, band, ((bin + turn) % {NBINS} + {NBINS})::INT % {NBINS} AS bin, v, n FROM {cube}, pt)"""
+
+
+@query(f"WITH {FOLDED}, {turned_sql('cube')} SELECT subint, band, bin::INT AS bin, {r('v')}, n FROM turned")
 def fold_centre(s, h):
     return folded.centre(cube_of(s, h), NBINS)
 
 
+@query(f"WITH {FOLDED} SELECT subint, band, bin, {r('v')}, n FROM cube WHERE subint = 2")
+def subint_pick(s, h):
+    return folded.get_subint(cube_of(s, h), 2)
+
+
+@query(f"WITH {FOLDED} SELECT subint, band, bin, {r('v')}, n FROM cube WHERE band = 1")
+def subband_pick(s, h):
+    return folded.get_subband(cube_of(s, h), 1)
+
+
 # Location and scale, of the variances of the channels or of each channel.
 
 VARS = f"{FB}, x AS (SELECT c, var_pop(v) AS v FROM fb GROUP BY c)"
@@ -555,6 +575,29 @@ def best_pulse(s, h):
     return matched.best_pulse(matched.boxcar_snr(summed(s), h.nsamples))
 
 
+BEST = "bp AS (SELECT itemp, width, t AS peak_bin, snr FROM snr ORDER BY snr DESC, itemp, t LIMIT 1)"
+
+
+@query(f"WITH {SNR}, {BEST} SELECT itemp::INT AS itemp, width::INT AS width, peak_bin, {r('snr')}, greatest(0, peak_bin)::BIGINT AS on_start, least(n, peak_bin + width)::BIGINT AS on_end FROM bp, h")
+def on_pulse(s, h):
+    return matched.on_pulse(matched.best_pulse(matched.boxcar_snr(summed(s), h.nsamples)), "boxcar", h.nsamples)
+
+
+@query(f"WITH {SNR}, {BEST} SELECT t, round(((CASE WHEN ((t - peak_bin) % n + n) % n < width THEN 1 ELSE 0 END) - width / n::DOUBLE) / sqrt(width * (1 - width / n::DOUBLE)), 6) + 0.0 AS v FROM (SELECT unnest(range(0, n)) AS t FROM h), bp, h")
+def best_model(s, h):
+    return matched.best_model(matched.best_pulse(matched.boxcar_snr(summed(s), h.nsamples)), "boxcar", h.nsamples)
+
+
+@query(f"WITH {FB}, a AS (SELECT t, v FROM fb WHERE c = 5), b AS (SELECT t, v FROM fb WHERE c = 9 AND t < 40) SELECT a.t + b.t AS t, {r('sum(a.v * b.v)', 'v')} FROM a, b GROUP BY 1")
+def ts_convolve(s, h):
+    return matched.convolve_series(fbk.read_chan(s, h, 5), fbk.read_chan(s, h, 9).where("t < 40"))
+
+
+@query(f"WITH {FB}, l AS (SELECT c, median(v) AS fill FROM fb GROUP BY c), g AS (SELECT unnest(range(0, n + 20)) AS t FROM h) SELECT g.t, l.c, {r('coalesce(fb.v, fill)', 'v')} FROM g CROSS JOIN l LEFT JOIN fb ON fb.t = g.t - 7 AND fb.c = l.c")
+def block_pad(s, h):
+    return fbk.pad_samples(explode_spectra(s), h.nsamples, h.nsamples + 20, 7)
+
+
 def template_sql(kind: str, widest: float) -> str:
     """SQL for the correlations with a bank of templates, given by their samples."""
     bank = [(i, width, j - ref, float(v)) for i, (width, shape, ref) in enumerate(matched.templates(kind, widest)) for j, v in enumerate(shape)]
@@ -574,12 +617,26 @@ def matched_filter_lorentzian(s, h):
     return matched.matched_filter(summed(s), "lorentzian", 16)
 
 
-@query()
+# The dedispersed series less its running mean takes the place of ``s``, its length that of ``h``; the rest as above with the defaults of the plan.
+FLAT = f"{FB.replace('h AS', 'h0 AS')}, s0 AS (SELECT t - {D} - {LOW} AS t, sum(v) AS v FROM fb, h0 WHERE {VALID.replace('n -', 'h0.n -')} GROUP BY 1), h AS (SELECT count(*) AS n FROM s0), f0 AS ({reflected(50, 49, 'avg(b.v)', 's0')}), s AS (SELECT t, s0.v - f0.v AS v FROM s0 JOIN f0 USING (t))"
+
+
+@query(f"""WITH RECURSIVE {DFT.replace(TS, FLAT)}, bl AS (SELECT 0 AS b, 1::BIGINT AS f, least(6, bins - 1)::BIGINT AS n, bins, z FROM kk UNION ALL
+SELECT b + 1, f + n, least(bins - f - n, CASE WHEN b = 0 OR f + n < round_even(6 * 0.001 * z, 0) THEN greatest(1, round_even(6 * ln(f + n), 0)) ELSE 100 END)::BIGINT, bins, z FROM bl WHERE f + n < bins),
+x AS (SELECT b, f, n, k, re, im, re * re + im * im AS w FROM ft JOIN bl ON k BETWEEN f AND f + n - 1),
+m AS (SELECT b, n, median(w) / {math.log(2)!r} AS m FROM x GROUP BY b, n), y AS (SELECT b, m AS m0, n AS n0, lead(m) OVER (ORDER BY b) AS m1, lead(n) OVER (ORDER BY b) AS n1 FROM m),
+g AS (SELECT k, re, im, 1 / sqrt(m0 + coalesce((m1 - m0) / (n0 + n1) * ((n0 + n1) / 2.0 - (k - f)), 0)) AS g FROM x JOIN y USING (b)),
+wh AS (SELECT k, re * g AS re, im * g AS im FROM g UNION ALL SELECT 0, 1.0, 0.0), l AS (SELECT *, re - lag(re, 1, 0.0) OVER (ORDER BY k) AS a, im - lag(im, 1, 0.0) OVER (ORDER BY k) AS b FROM wh),
+p AS (SELECT k, sqrt(greatest(re * re + im * im, (a * a + b * b) / 2)) AS p FROM l), fo AS (SELECT f, (2 ** (f + 1))::BIGINT AS nh FROM range(0, 3) t(f)),
+tm AS (SELECT f, k AS i, (o.m + nh // 2) // nh + o.m * ((k - 1) // nh) + o.m * ((k - 1) % nh) // nh AS j FROM fo, p, kk, range(1, 8, 2) o(m) WHERE o.m < nh AND k BETWEEN 1 AND (bins - 1) // nh * nh),
+ha AS (SELECT f, i, sum(p) AS q FROM tm JOIN p ON p.k = j GROUP BY 1, 2),
+hf AS (SELECT nf::INT AS nfold, p.k, any_value(p.p) + coalesce(sum(q), 0) AS p FROM p CROSS JOIN range(0, 4) n(nf) LEFT JOIN ha ON ha.i = p.k AND ha.f < nf WHERE p.k > 0 GROUP BY 1, 2)
+SELECT nfold, k, {r('p')}, row_number() OVER (PARTITION BY nfold ORDER BY p DESC, k)::INT AS r, {r('k / (0.001 * z)', 'freq')} FROM hf, z QUALIFY r <= 5""")
 def periodicity_search(s, h):
     return search.periodicity(s, h, DM, 3, 5, 0.1)
 
 
-@query()
+@query(f"WITH {FOLDED}, filled AS (SELECT subint, band, bin, coalesce(v, (SELECT median(v) FROM cube)) AS v, n FROM cube), {turned_sql('filled')} SELECT subint, band, bin::INT AS bin, {r('v')}, n FROM turned")
 def fold_candidate(s, h):
     return search.fold_candidate(s, h, PERIOD, DM, NBINS, NINTS, NBANDS)[0]
 
@@ -590,9 +647,16 @@ def pulse_window(s, h):
     return search.PulseWindow(h, toa=130, width=2, dm=DM, min_nsamps=256).data(s)
 
 
-@query()
+BURST = simulate.PulseParams(dm=DM, snr=20.0, width_ms=4.0, structure="flat")
+#: A flat burst is 64 equal Gaussians: its band sum has the length snr * sqrt(64), whatever their shape.
+SIGMA = BURST.width_ms / 1000 / SYNTHETIC.tsamp / (2 * math.sqrt(2 * math.log(2)))
+
+
+@query(f"""WITH g AS (SELECT t, c, exp(-((t - 128 - {DELAYS}[c + 1]) ** 2) / (2 * {SIGMA!r} ** 2)) AS p FROM range(0, 256) a(t), range(0, 64) b(c)),
+k AS (SELECT {BURST.snr} * 8 / (64 * sqrt(sum(exp(-(o ** 2) / (2 * {SIGMA!r} ** 2)) ** 2))) AS k FROM range(-100, 101) x(o))
+SELECT t, c::INT AS c, round(p * k, 6) + 0.0 AS v FROM g, k""")
 def simulated_burst(s, h):
-    return simulate.burst(s.sparkSession, h, simulate.PulseParams(dm=DM, structure="gaussian", tau_ms=1.0, seed=5), 256)
+    return simulate.burst(s.sparkSession, h, BURST, 256)
 
 
 @query(f"WITH {FB}, w AS (SELECT t, c, v, avg(v) OVER x AS m, stddev_pop(v) OVER x AS s FROM fb WINDOW x AS (PARTITION BY c ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT t, c, {r('(v - m) / CASE WHEN s > 1e-5 THEN s ELSE 1 END', 'v')} FROM w")

@@ -20,8 +20,14 @@ def share_package(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new local path for files, in the folder that executors share (``spark.checkpoint.dir``) or, where that is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="dynspec-")
+    """A new path in the folder that executors share: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``. Where neither is set, in a temporary
+    folder in local mode; a cluster has none that is shared, so there it is an error. Paths of the local file system come without a scheme, as programs other than Spark open them."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="dynspec-")
     base = base.removeprefix("file://").removeprefix("file:")
-    os.makedirs(base, exist_ok=True)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    if "://" not in base:
+        os.makedirs(base, exist_ok=True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,12 +2,13 @@
 
 ``register`` gives the session the formats ``fil`` (read, write). Options of the reader: ``chunk`` (samples a partition, 16384), ``start``,
 ``nsamps``, ``contiguous`` (true: files must follow each other in time). A path may list files with commas; they are read as one
-stream. Files are opened where they are read, so they must be on a file system that all executors mount.
+stream; ``chan`` and ``nchans`` keep that many channels from one on. Files are opened where they are read, so they must be on a file system that all executors mount.
 """
 
 from __future__ import annotations
 
 import glob
+import math
 import os
 import struct
 from collections.abc import Iterator, Sequence
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..meta import DATA_TYPES, MACHINES, TELESCOPES, ObsHeader, name_of, pack_angle, parse_angle
@@ -274,6 +276,8 @@ class FilReader(DataSourceReader):
         return pieces(_files(o["path"]), int(o.get("chunk", 16384)), int(o.get("start", 0)), nsamps, o.get("contiguous", "true") == "true")
 
     def read(self, p: Piece) -> Iterator[pa.RecordBatch]:
+        low = int(self.options.get("chan", 0))
+        kept = min(int(self.options.get("nchans", p.nchans)), p.nchans - low)
         with open(p.path, "rb") as f:
             f.seek(p.offset)
             at, rows = 0, max(1, (4 << 20) // (8 * p.nchans))
@@ -283,8 +287,8 @@ class FilReader(DataSourceReader):
                 raw = f.read(need)
                 if len(raw) < need:
                     raise ValueError(f"{p.path} ends early")
-                x = bits.decode(raw, p.nbits)[: n * p.nchans].astype(np.float64)
-                spec = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * p.nchans, p.nchans, dtype=np.int32)), pa.array(x))
+                x = bits.decode(raw, p.nbits)[: n * p.nchans].reshape(n, p.nchans)[:, low : low + kept].astype(np.float64).ravel()
+                spec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * kept), pa.array(x))
                 t = pa.array(np.arange(p.first + at, p.first + at + n, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([p.obs_id] * n), t, spec], ["obs_id", "t", "spec"])
                 at += n
@@ -371,6 +375,30 @@ def read_fil(spark: SparkSession, paths: str | Sequence[str], **options):
     return df, read_header(paths, options.get("contiguous", True))
 
 
+def read_fil_block(spark: SparkSession, paths: str | Sequence[str], start: int, nsamps: int, fch1: float | None = None, nchans: int | None = None, **options):
+    """The same rectangle as ``filterbank.read_block`` gives of the whole, and its header; other samples are not read and other channels not kept.
+
+    Ranges are options of the reader and not filters pushed into it: sessions share what is pushed between plans of one DataFrame, so one plan's filter would reach the others.
+    """
+    from ..operators.filterbank import block_header
+
+    chan, kept, head = block_header(read_header(paths, options.get("contiguous", True)), start, nsamps, fch1, nchans)
+    step = _whole_bytes(paths, start)
+    df, _ = read_fil(spark, paths, start=step, nsamps=nsamps + start - step, chan=chan, nchans=kept, **options)
+    return df.where(F.col("t") >= start).withColumn("t", F.col("t") - start), head
+
+
+def _whole_bytes(paths: str | Sequence[str], start: int) -> int:
+    """The last sample up to ``start`` that begins at a whole byte of its file."""
+    base = 0
+    for h in parse_headers(_files(paths), False)[1]:
+        if start < base + h["nsamples"]:
+            break
+        base += h["nsamples"]
+    step = 8 // math.gcd(8, h["nchans"] * h["nbits"])
+    return base + (start - base) // step * step
+
+
 def write_fil(spectra, header: ObsHeader, path: str) -> None:
     """One file of all samples, in order."""
     register(spectra.sparkSession)

@@ -206,22 +206,100 @@ def test_pulse_window_pads(spectra):
     assert got[(got.t == -w.start) & (got.c == 3)].v.iloc[0] == X[0, 3]
 
 
+def test_spectral_structures():
+    freqs = np.linspace(1500.0, 1400.0, 512)
+    for kind in simulate.KINDS:
+        for seed in range(5):
+            s = simulate.spectral_structure(freqs, kind, 0.0, seed)
+            assert s.shape == (512,) and s.mean() == pytest.approx(1) and (s >= 0).all() and np.isfinite(s).all()
+            assert (s == simulate.spectral_structure(freqs, kind, 0.0, seed)).all()
+    assert (simulate.spectral_structure(freqs, "flat", 0.0) == 1).all()
+    slope = simulate.spectral_structure(freqs, "power_law", -2.0)
+    assert np.allclose(slope / slope[0], (freqs / freqs[0]) ** -2)
+    peak = simulate.spectral_structure(freqs, "gaussian", 0.0, 1, simulate.Structure(centre=0.25, width=0.1))
+    assert abs(freqs[peak.argmax()] - 1425) < 1 and (peak > peak.max() / 2).mean() == pytest.approx(0.1, abs=0.01)
+    # Scattered light has exponential power: its deviation is its mean; a wider decorrelation leaves fewer extremes.
+    many = np.concatenate([simulate.spectral_structure(freqs, "scintillation", 0.0, i, simulate.Structure(decorrelation=0.01)) for i in range(40)])
+    assert many.std() == pytest.approx(1, abs=0.15)
+    turns = lambda width: np.mean([(np.diff(np.sign(np.diff(simulate.spectral_structure(freqs, "scintillation", 0.0, i, simulate.Structure(decorrelation=width))))) != 0).sum() for i in range(20)])
+    assert turns(0.01) > 3 * turns(0.1)
+    with pytest.raises(ValueError):
+        simulate.spectral_structure(freqs, "invalid")
+
+
 def test_burst(spark):
     head = meta.ObsHeader(nchans=32, fch1=1500.0, foff=-1.0, tsamp=0.001, nsamples=512)
-    for kind in simulate.KINDS:
-        s = simulate.spectral_structure(head.chan_freqs, kind, seed=3)
-        assert s.shape == (32,) and s.mean() == pytest.approx(1) and np.isfinite(s).all()
-    cells = simulate.burst(spark, head, simulate.PulseParams(dm=50.0, tau_ms=1.0, structure="gaussian", seed=1), 512)
+    params = simulate.PulseParams(dm=50.0, tau_ms=1.0, structure="gaussian", seed=1)
+    cells = simulate.burst(spark, head, params, 512)
     assert cells.count() == 32 * 512
     tim = fbk.dedisperse(pack_spectra(cells), head, 50.0)
-    best = matched.best_pulse(matched.boxcar_snr(tim, 512 - int(head.delays(50.0).max()))).first()
+    n = 512 - int(head.delays(50.0).max())
+    best = matched.best_pulse(matched.boxcar_snr(tim, n)).first()
     assert abs(best.peak_bin + best.width / 2 - 256) < 8
-    stats = simulate.pulse_stats(tim, 512).first()
-    assert stats.norm == pytest.approx(10 * np.sqrt(32), rel=0.05)
+    stats = simulate.burst_stats(tim, head, params, n).first()
+    assert stats.norm == pytest.approx(10 * np.sqrt(32), rel=0.05) and stats.template_snr == pytest.approx(10, rel=0.05)
+    assert 7 < stats.box_snr <= 10.01 and 7 < stats.gauss_snr <= 10.01 and stats.box_width >= 2
+    assert stats.eff_width == pytest.approx(np.sqrt(0.001**2 + 0.001**2 + 0.002**2 + head.smearing(50.0, in_samples=False).max() ** 2))
+    fine = simulate.burst(spark, head, simulate.PulseParams(dm=50.0, tau_ms=1.0, structure="gaussian", seed=1, oversample=8), 512)
+    tim8 = values(fbk.dedisperse(pack_spectra(fine), head, 50.0))
+    assert np.sqrt((tim8**2).sum()) == pytest.approx(10 * np.sqrt(32), rel=0.1) and np.corrcoef(tim8, values(tim))[0, 1] > 0.9
     shifted = simulate.disperse(cells.where("t < 10"), [0] * 32, 30)
     assert shifted.count() == 32 * 30
 
 
+def test_disperse_moves_and_averages(spark):
+    rows = [("a", t, c, float(10 * t + c)) for t in range(4) for c in range(3)]
+    fb = spark.createDataFrame(rows, "obs_id string, t long, c int, v double")
+    want = np.zeros((3, 20))
+    for c, shift in enumerate((-2, 0, 3)):
+        want[c, 8 + shift : 12 + shift] = [10 * t + c for t in range(4)]
+    got = simulate.disperse(fb, [-2, 0, 3], 20).toPandas().pivot(index="c", columns="t", values="v").to_numpy()
+    assert np.array_equal(got, want)
+    got = simulate.disperse(fb, [-2, 0, 3], 20, 4).toPandas().pivot(index="c", columns="t", values="v").to_numpy()
+    assert np.allclose(got, want.reshape(3, 5, 4).mean(axis=2))
+
+
+def test_model_and_on_pulse(spark):
+    best = spark.createDataFrame([("a", 3, 5.0, 10, 7.0)], "obs_id string, itemp int, width double, peak_bin long, snr double")
+    model = values(matched.best_model(best, "boxcar", 20))
+    assert len(model) == 20 and (model[10:15] > 0).all() and (np.delete(model, range(10, 15)) < 0).all()
+    assert model.mean() == pytest.approx(0) and (model**2).sum() == pytest.approx(1)
+    assert values(matched.best_model(best, "gaussian", 40)).argmax() == 10
+    assert matched.on_pulse(best, "boxcar", 20).first()[-2:] == (10, 15) and matched.on_pulse(best, "gaussian", 20).first()[-2:] == (5, 15)
+    assert matched.on_pulse(best, "boxcar", 12).first()[-2:] == (10, 12)
+
+
+def test_merged_statistics_keep_large_means(spark):
+    x = 1e8 + np.random.default_rng(4).normal(size=3000)
+    fb = spark.createDataFrame([("a", t, 0, float(v)) for t, v in enumerate(x)], "obs_id string, t long, c int, v double").withColumn("part", F.col("t") % 5)
+    got = fbk.merge_stats(fbk.partial_stats(fb, "part")).first()
+    d = x - x.mean()
+    assert got["var"] == pytest.approx(x.var(), rel=1e-6) and got["skew"] == pytest.approx((d**3).mean() / x.var() ** 1.5, abs=1e-5)
+    assert got["kurt"] == pytest.approx((d**4).mean() / x.var() ** 2 - 3, abs=1e-5)
+
+
+def test_pairs_of_large_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(robust, "MOST_PAIRED", 10)
+    data = spark.range(20).selectExpr("'a' AS obs_id", "id AS t", "id * 1.0 AS v")
+    with pytest.raises(Exception, match="too many to pair"):
+        robust.scale(data, ["obs_id"], "qn").collect()
+
+
+def test_frames_across_blocks(spark, monkeypatch):
+    from dynspec.operators import series as se
+
+    monkeypatch.setattr(se, "BLOCK", 64)
+    x = np.random.default_rng(6).normal(size=500)
+    tim = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(x)], "obs_id string, t long, v double")
+    got = matched.boxcar_snr(tim, 500, 9).toPandas().sort_values(["itemp", "t"])
+    z = (x - np.median(x)) / ((np.quantile(x, 0.75) - np.quantile(x, 0.25)) / robust.IQR_NORMAL)
+    for i, w in enumerate(meta.width_ladder(9)):
+        want = (np.array([np.take(z, range(t, t + w), mode="wrap").sum() for t in range(500)]) - w * z.mean()) / np.sqrt(w * (1 - w / 500))
+        assert np.allclose(got[got.itemp == i].snr, want)
+    last = se.lagged(tim, "t", ["v"], F.lit(0.0)).toPandas().sort_values("t")
+    assert np.array_equal(last.last_v, np.concatenate([[0], x[:-1]]))
+
+
 def test_header():
     assert HEAD.updated(nonsense=1, dm=3.0).dm == 3.0
     assert HEAD.fbottom == HEAD.ftop - 64 and HEAD.fcenter == (HEAD.ftop + HEAD.fbottom) / 2

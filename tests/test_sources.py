@@ -202,3 +202,17 @@ def test_cli(spark, tmp_path, capsys):
 def test_extract_channel_range_is_checked(spark):
     with pytest.raises(ValueError):
         filterbank.read_chan(spark.createDataFrame([("a", 0, [1.0])], "obs_id string, t long, spec array<double>"), HEAD, 16)
+
+
+def test_block_of_a_file_reads_its_range(spark, tmp_path):
+    for nbits in (8, 2):
+        head = ObsHeader(nchans=3, fch1=1500.0, foff=-1.0, tsamp=0.001, nsamples=1000, nbits=nbits)
+        rows = [("a", t, [float((t + c) % 2**nbits) for c in range(3)]) for t in range(1000)]
+        path = str(tmp_path / f"{nbits}.fil")
+        sigproc.write_fil(spark.createDataFrame(rows, "obs_id string, t long, spec array<double>"), head, path)
+        got, small = sigproc.read_fil_block(spark, path, 253, 170, 1499.0, 2, chunk=100)
+        assert got.rdd.getNumPartitions() == 2
+        whole, header = sigproc.read_fil(spark, path)
+        want, large = filterbank.read_block(whole, header, 253, 170, 1499.0, 2)
+        plain = lambda df: sorted((r.t, list(r.spec)) for r in df.collect())
+        assert plain(got) == plain(want) and len(plain(got)) == 170 and small == large
