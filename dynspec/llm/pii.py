@@ -1,7 +1,7 @@
 """Personal data in texts, with built-in functions only.
 
 Regular expressions propose spans, checksum validators (Luhn for cards, mod-97 for account numbers) and range
-checks confirm them, and context words near a span adjust its score. Offsets count code points, ends are exclusive.
+checks confirm them, and context words near a span, whole ones, adjust its score. The score says how likely a span is personal data; every confirmed span is returned, whatever its score. Offsets count code points, ends are exclusive.
 
 A kind's matches and the gaps between them come from the same expression, so their lengths add up to the offsets without a
 row-wise function. The expressions are written so that each takes time linear in the text: runs are
@@ -22,10 +22,10 @@ from .common import table
 # and the words that raise it.
 LOCAL = "[A-Za-z0-9._%+-]"
 KINDS = {
-    "email": (rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", rf"{LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 80, "mail|contact|write"),
+    "email": (rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", rf"{LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 80, "e-?mail|mail|contact|write|reach"),
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", 50, "ip|host|server|address|login"),
-    "card": (r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9])+", 70, "card|visa|master|amex|credit|debit|pay"),
-    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", 50, "phone|tel|call|mobile|fax"),
+    "card": (r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9])+", 70, "card|visa|mastercard|amex|credit|debit|pay|paid|payment"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", 50, "phone|telephone|tel|call|mobile|cell|fax"),
     "iban": (r"(?<![0-9A-Za-z_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z_])", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 90, "iban|account|bank|transfer"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -33,6 +33,11 @@ BEFORE, AFTER, RAISE = 40, 20, 10
 RARE_SIGN = {"email": "@", "ip": ".", "phone": "+"}
 
 
+def _whole(words: str) -> str:
+    """A pattern for these words, or their plurals, between characters that are no letters a-z."""
+    return f"(^|[^a-z])({words})s?([^a-z]|$)"
+
+
 def _running(lengths: str) -> str:
     """SQL for the running totals of an array, in blocks of about the root of its size, so that long arrays stay cheap."""
     add = "aggregate({}, struct(0 AS t, cast(array() AS array<int>) AS a), (s, x) -> struct(s.t + x AS t, array_append(s.a, s.t + x) AS a))"
@@ -76,7 +81,7 @@ def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
         rows = rows.withColumn("ends", F.expr(f"if(pairs IS NULL, NULL, {_running('lens')})"))
         # Arrays meet in zip_with, not by index: an index would have its array made anew for every element.
         whole = "zip_with(pairs, ends, (x, e) -> struct(x.h, x.near, e AS end))"
-        spans = f"transform(filter({whole}, x -> {_confirmed(kind)}), x -> struct(x.end - length(x.h) AS start, x.end, {score} + if(x.near RLIKE '{words}', {RAISE}, 0) AS score, x.h AS value))"
+        spans = f"transform(filter({whole}, x -> {_confirmed(kind)}), x -> struct(x.end - length(x.h) AS start, x.end, {score} + if(x.near RLIKE '{_whole(words)}', {RAISE}, 0) AS score, x.h AS value))"
         rows = rows.withColumn(kind, F.expr(f"coalesce(if(pairs IS NULL, NULL, {spans}), {none})")).drop("hits", "gaps", "pairs", "lens", "ends")
     return rows.drop("text")
 
@@ -122,7 +127,7 @@ def _op9_sql() -> str:
         parts += [
             f"a_{kind} AS (SELECT r, unnest(regexp_extract_all(text, '{found}')) AS h, unnest(regexp_split_to_array(text, '{found}')) AS g, unnest(range(1, len(regexp_split_to_array(text, '{found}')) + 1)) AS i FROM d)",
             f"b_{kind} AS (SELECT r, h, sum(length(g) + length(h)) OVER (PARTITION BY r ORDER BY i) AS stop, lower(right(g, {BEFORE}) || '|' || left(lead(g) OVER (PARTITION BY r ORDER BY i), {AFTER})) AS near FROM a_{kind})",
-            f"c_{kind} AS (SELECT r, count(*) AS n, string_agg('{kind}:' || (stop - length(h))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop) AS p, string_agg(({score} + CASE WHEN regexp_matches(near, '{words}') THEN {RAISE} ELSE 0 END)::VARCHAR, ',' ORDER BY stop) AS s FROM b_{kind} WHERE h IS NOT NULL AND {_sql_confirmed(kind)} GROUP BY r)",
+            f"c_{kind} AS (SELECT r, count(*) AS n, string_agg('{kind}:' || (stop - length(h))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop) AS p, string_agg(({score} + CASE WHEN regexp_matches(near, '{_whole(words)}') THEN {RAISE} ELSE 0 END)::VARCHAR, ',' ORDER BY stop) AS s FROM b_{kind} WHERE h IS NOT NULL AND {_sql_confirmed(kind)} GROUP BY r)",
         ]
     joined = lambda what, kinds: f"concat_ws(',', {', '.join(f'c_{k}.{what}' for k in kinds)})"
     counts = ", ".join(f"coalesce(c_{k}.n, 0)::BIGINT AS n_{k}" for k in KINDS)

@@ -51,9 +51,9 @@ KEY_RATIO = 1.9
 
 
 @cache
-def encoder(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def encoder(data: bytes) -> tiktoken.Encoding:
+    """From the bytes of a vocabulary file; a run of letters, digits or others is cut at ``PIECE`` characters."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("runs", pat_str=rf"[A-Za-z]{{1,{PIECE}}}|[0-9]{{1,{PIECE}}}|[^A-Za-z0-9]{{1,{PIECE}}}", mergeable_ranks=ranks, special_tokens={})
 
 
@@ -64,7 +64,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def random_spans(text: str, taken: list[tuple[int, int, str]], vocabulary: str, ratio: float) -> list[tuple[int, int, str]]:
+def random_spans(text: str, taken: list[tuple[int, int, str]], tokens: tiktoken.Encoding, ratio: float) -> list[tuple[int, int, str]]:
     """Runs with few characters per token that overlap no span of ``taken`` (sorted by start)."""
     found, at, reach = [], 0, 0
     for m in RUN.finditer(text):
@@ -75,11 +75,11 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], vocabulary: str,
         if reach > m.start() or UUID.match(run) or DIGEST.match(run):
             continue
         mixed = len(run) >= LONG_RUN and re.search("[0-9]", run) and re.search("[A-Za-z]", run)
-        if mixed and len(run) < PART_LENGTH * len(PART.findall(run)) and len(run) < ratio * len(encoder(vocabulary).encode_ordinary(run)):
+        if mixed and len(run) < PART_LENGTH * len(PART.findall(run)) and len(run) < ratio * len(tokens.encode_ordinary(run)):
             found.append((m.start(), m.end(), "random"))
             continue
         for key in KEY.finditer(run):
-            if re.search("[A-Za-z]", key[0]) and not DIGEST.match(key[0]) and len(key[0]) < KEY_RATIO * len(encoder(vocabulary).encode_ordinary(key[0])):
+            if re.search("[A-Za-z]", key[0]) and not DIGEST.match(key[0]) and len(key[0]) < KEY_RATIO * len(tokens.encode_ordinary(key[0])):
                 found.append((m.start() + key.start(), m.start() + key.end(), "random"))
     return found
 
@@ -92,6 +92,8 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans`` and ``n_random`` of every row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    with open(vocabulary, "rb") as f:  # under a MB, so executors get it with the job and need no such folder
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,7 +101,7 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             for t in b.column("text"):
                 t = t.as_py() or ""
                 base = base_spans(t)
-                more = random_spans(t, base, vocabulary, ratio)
+                more = random_spans(t, base, encoder(shared.value), ratio)
                 kinds = [k for _, _, k in base]
                 every = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
                 out.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_line(base).encode()).hexdigest(), _line(every), len(more)))

@@ -134,8 +134,26 @@ def test_secrets(spark):
         assert [s for s in r.spans.split(",") if s and not s.startswith("random")] == want
 
 
+def tokens():
+    with open(secrets.VOCABULARY, "rb") as f:
+        return secrets.encoder(f.read())
+
+
+def test_secrets_planted_by_alphabet_and_length():
+    """What share of random keys is found, by alphabet and length; and that prose, paths and identifiers hold none."""
+    rng = random.Random(32)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    floor = {(lower + upper + digits, 16): 0.97, (lower + upper + digits, 20): 0.99, (lower + digits, 16): 0.9, (lower + digits, 20): 0.93, (lower + digits, 32): 0.97, (lower + upper, 32): 0.99, (lower, 32): 0.9, (upper + "234567", 32): 0.97}
+    for (alphabet, n), least in floor.items():
+        keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+        hits = sum(any((a, b) == (4, 4 + n) for a, b, _ in secrets.random_spans(f"see {k} there", [], tokens(), secrets.RATIO)) for k in keys)
+        assert hits >= least * 300, (alphabet, n, hits / 300)
+    fine = "the quick brown fox jumps over the lazy dog /usr/share/doc/python3/examples/README.md get_user_by_id_or_email parseHttpResponseHeaders MAX_RETRY_COUNT_EXCEEDED_ERROR https://example.com/articles/2024/05/17/how-to-write-tests " * 50
+    assert secrets.random_spans(fine, [], tokens(), secrets.RATIO) == []
+
+
 def test_secrets_by_tokens():
-    find = lambda t: [t[a:b] for a, b, _ in secrets.random_spans(t, secrets.base_spans(t), secrets.VOCABULARY, secrets.RATIO)]
+    find = lambda t: [t[a:b] for a, b, _ in secrets.random_spans(t, secrets.base_spans(t), tokens(), secrets.RATIO)]
     assert find("key wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLE12KEY here") == ["wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLE12KEY"]
     for fine in ("some_long_identifier_name_v2_final", "/usr/local/lib/python3/site-packages", "123e4567-e89b-12d3-a456-426614174000", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "internationalization2024guidelines", "a" * 100):
         assert find(fine) == []
@@ -149,7 +167,7 @@ def test_secrets_of_letters_in_paths_and_short():
         for _ in range(200):
             key = "".join(rng.choice(alphabet) for _ in range(n))
             text = f"see {before}{key} there"
-            hits += any(text[a:b].endswith(key) for a, b, _ in secrets.random_spans(text, [], secrets.VOCABULARY, secrets.RATIO))
+            hits += any(text[a:b].endswith(key) for a, b, _ in secrets.random_spans(text, [], tokens(), secrets.RATIO))
         assert hits >= 190
 
 
@@ -349,11 +367,13 @@ def brute_lines(rows, sites, chars):
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("bound", [0, 32 << 20])
+def test_line_dedup(spark, monkeypatch, bound):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", bound)
     rng = random.Random(2)
     pool = [f"This is a shared line number {i} of the pool" for i in range(12)] + ["", "short", "  This is a shared line number 1 of the pool "]
     rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else words(rng, 8, 10**6) for _ in range(rng.choice([1, 3, 9]))), f"s{rng.randrange(9)}" if i % 7 else None) for i in range(120)]
-    rows += [(500, None, "s1"), (501, "", "s2"), rows[3], (None, pool[0] + "\n" + pool[1], "s4")]
+    rows += [(500, None, "s1"), (501, "", "s2"), rows[3], (None, pool[0] + "\n" + pool[1], "s4"), (502, "\n".join([pool[0], "long " * 50_000, pool[2]] * 30), "s3")]
     got = linededup.remove_boilerplate(docs(spark, rows))
     assert Counter((r.doc_id, r.text, r.n_removed) for r in got.collect()) == brute_lines(rows, linededup.MIN_SITES, linededup.MIN_CHARS)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_removed"]
@@ -702,6 +722,9 @@ def test_pii_checksums_and_context(spark):
     assert [(s.value, s.score) for s in got[1].iban] == [("GB82 WEST 1234 5698 7654 32", 100)]
     assert [s.value for s in got[2].iban] == ["DE89370400440532013000"]
     assert got[3].phone[0].score == got[4].phone[0].score + pii.RAISE
+    rows = [(1, "the ship 10.0.0.1 docked"), (2, "the host: 10.0.0.1 is up"), (3, "a hotel, 10.0.0.1"), (4, "IPs 10.0.0.1")]
+    got = {r.doc_id: r.ip[0].score for r in pii.find_spans(docs(spark, rows)).collect()}
+    assert got[1] == got[3] == 50 and got[2] == got[4] == 50 + pii.RAISE
 
 
 # Quality
