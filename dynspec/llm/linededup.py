@@ -25,7 +25,7 @@ MIN_CHARS = 20
 LOG2_REGISTERS = 12
 MARGIN = 4
 #: Most bytes of the table of lines to remove that is broadcast, and about how many a row takes.
-BROADCAST_BYTES, ROW_BYTES = 32 << 20, 128
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 512
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, site: str, min_chars: int) -> DataFrame:
