@@ -61,6 +61,19 @@ def read_block(spectra: DataFrame, header: ObsHeader, start: int, nsamps: int, f
     return inside.select("obs_id", (F.col("t") - start).alias("t"), F.slice("spec", first + 1, count).alias("spec")), cut
 
 
+def gulps(spectra: DataFrame, header: ObsHeader, gulp: int = 16384, start: int = 0, nsamps: int | None = None, skipback: int = 0) -> DataFrame:
+    """Row-local: ``(obs_id, gulp, i, t, spec)``, the samples in windows of ``gulp`` of which each repeats the last ``skipback`` of the one before; the last may be short. For work that needs
+    neighbours within a task; scans that do not need none of this."""
+    count = header.nsamples - start if nsamps is None else nsamps
+    _check(0 <= skipback < gulp, "the gulp must be longer than what it repeats")
+    _check(0 <= start and 0 <= count and start + count <= header.nsamples, "samples out of range")
+    step, at = gulp - skipback, F.col("t") - start
+    last = max(0, -(-(count - skipback) // step) - 1)
+    low, high = F.greatest(F.lit(0), F.floor((at - gulp) / step) + 1), F.least(F.lit(last), F.floor(at / step))
+    inside = spectra.where(F.col("t").between(start, start + count - 1)).select("obs_id", "t", "spec", F.explode(F.sequence(low, high)).alias("gulp"))
+    return inside.select("obs_id", F.col("gulp").cast("int").alias("gulp"), (F.col("t") - start - F.col("gulp") * step).cast("int").alias("i"), "t", "spec")
+
+
 def extract_samples(spectra: DataFrame, header: ObsHeader, start: int, nsamps: int) -> tuple[DataFrame, ObsHeader]:
     return read_block(spectra, header, start, nsamps)
 

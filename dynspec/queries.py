@@ -120,6 +120,11 @@ def read_dedisp_block(s, h):
     return fbk.read_dedisp_block(explode_spectra(s), h, 20, 100, DM)
 
 
+@query(f"WITH {FB}, g AS (SELECT g::INT AS gulp, i::INT AS i, 10 + g * 80 + i AS t FROM range(0, 5) a(g), range(0, 100) b(i) WHERE g * 80 + i < 400) SELECT gulp, i, t, {r('sum(v)', 'v')} FROM g JOIN fb USING (t) GROUP BY ALL")
+def gulp_scan(s, h):
+    return fbk.gulps(s, h, 100, 10, 400, 20).select("gulp", "i", "t", F.aggregate("spec", F.lit(0.0), lambda a, x: a + x).alias("v"))
+
+
 @query(f"WITH {FB} SELECT t - 50 AS t, c, {r('v')} FROM fb WHERE t BETWEEN 50 AND 149")
 def extract_samples(s, h):
     return explode_spectra(fbk.extract_samples(s, h, 50, 100)[0])
@@ -239,6 +244,26 @@ def roll_channels(s, h):
     return fbk.roll(explode_spectra(s), [3 * c for c in range(64)], h.nsamples)
 
 
+@query(f"WITH {FB} SELECT t + c * 3 - 100 AS t, c, {r('v')} FROM fb, h WHERE t + c * 3 - 100 BETWEEN 89 AND n - 101")
+def roll_channels_valid(s, h):
+    return fbk.roll(explode_spectra(s), [3 * c - 100 for c in range(64)], h.nsamples, valid_only=True)
+
+
+@query("SELECT vec_id AS t, round(58543.0 + vec_id * 0.001 / 86400, 12) AS mjd FROM embeddings")
+def sample_mjd(s, h):
+    return s.select("t", F.round(C.mjd_after(h.tstart, F.col("t"), h.tsamp), 12).alias("mjd"))
+
+
+# Angles are taken at whole seconds of arc, so that the packed form is exact.
+ANGLE = "(vec_id * 611 % 648000 - 324000)"
+
+
+@query(f"SELECT vec_id AS t, {r(f'sign({ANGLE}) * (abs({ANGLE}) // 3600 * 10000 + abs({ANGLE}) % 3600 // 60 * 100 + abs({ANGLE}) % 60)::DOUBLE', 'packed')}, {r(f'{ANGLE} / 3600.0', 'degrees')} FROM embeddings")
+def packed_angles(s, h):
+    degrees = (F.pmod(F.col("t") * 611, F.lit(648000)) - 324000) / 3600
+    return s.select("t", C.packed_angle(degrees).alias("packed")).withColumn("degrees", C.angle_degrees(F.col("packed")))
+
+
 @query(f"WITH {FB}, f AS (SELECT c, 1400.0 - c AS freq FROM fb WHERE t = 0) SELECT c, freq, round_even({DM_CONSTANT * DM} * (freq ** -2.0 - 1400.0 ** -2.0) / 0.001, 0)::INT AS delay FROM f")
 def dm_delays(s, h):
     return rfi.channels(s.sparkSession, h).withColumn("delay", C.dm_delay(F.col("freq"), DM, h.fch1, h.tsamp))
@@ -452,6 +477,11 @@ def ts_downsample(s, h):
     return series.downsample(summed(s), h.nsamples, 7)
 
 
+@query(f"WITH {TS} SELECT t // 6 AS t, {r('median(v)', 'v')} FROM s, h WHERE t < n // 6 * 6 GROUP BY 1")
+def ts_downsample_median(s, h):
+    return series.downsample(summed(s), h.nsamples, 6, "median")
+
+
 @query(f"WITH {TS}, g AS (SELECT unnest(range(0, n + 10)) AS t FROM h) SELECT g.t, {r('coalesce(s.v, (SELECT median(v) FROM s))', 'v')} FROM g LEFT JOIN s ON s.t = g.t - 4")
 def ts_pad(s, h):
     return series.pad(summed(s), h.nsamples, h.nsamples + 10, "median", 4)
@@ -696,6 +726,34 @@ def fft_round_trip(s, h):
     return presto.read_fft(s.sparkSession, path)[0]
 
 
+@query(f"WITH {TS} SELECT t, round(v::FLOAT::DOUBLE, 3) + 0.0 AS v FROM s")
+def tim_round_trip(s, h):
+    path = scratch(s.sparkSession, "round-trip") + ".tim"
+    presto.write_tim(summed(s), h, path)
+    return presto.read_tim(s.sparkSession, path)[0].withColumn("v", F.round("v", 3))
+
+
+@query("SELECT vec_id AS k, round(embedding[3]::DOUBLE, 6) + 0.0 AS re, round(embedding[4]::DOUBLE, 6) + 0.0 AS im FROM embeddings")
+def spec_round_trip(s, h):
+    path = scratch(s.sparkSession, "round-trip") + ".spec"
+    presto.write_spec(s.select("obs_id", F.col("t").alias("k"), F.col("spec")[2].alias("re"), F.col("spec")[3].alias("im")), h, path)
+    return presto.read_spec(s.sparkSession, path)[0]
+
+
+@query(f"WITH {FB} SELECT t - 33 AS t, c - 8 AS c, {r('v')} FROM fb WHERE t BETWEEN 33 AND 132 AND c BETWEEN 8 AND 23")
+def fil_block(s, h):
+    path = scratch(s.sparkSession, "block") + ".fil"
+    sigproc.write_fil(s, h, path)
+    return explode_spectra(sigproc.read_fil_block(s.sparkSession, path, 33, 100, 1392.0, 16)[0])
+
+
+@query(ORACLE["simulated_burst"])
+def burst_round_trip(s, h):
+    path = scratch(s.sparkSession, "burst")
+    masks.save(simulate.burst(s.sparkSession, h, BURST, 256), h, path, dm=BURST.dm)
+    return masks.load(s.sparkSession, path)[0]
+
+
 @query(f"WITH {CLEAN} SELECT c, masked FROM mk")
 def mask_round_trip(s, h):
     path = scratch(s.sparkSession, "mask")

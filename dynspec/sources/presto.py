@@ -157,10 +157,7 @@ def read_spec(spark: SparkSession, path: str) -> tuple[DataFrame, ObsHeader]:
 
 def _write(rows: DataFrame, order: str, values: list[str], head: bytes, path: str) -> None:
     """Values in order after a header, through the filterbank writer."""
-    spectra = rows.select(F.col(order).alias("t"), F.array(*values).alias("spec"))
-    sigproc.register(spectra.sparkSession)
-    ordered = spectra.repartitionByRange("t").sortWithinPartitions("t")
-    ordered.write.format("fil").mode("append").options(header=head.hex(), nbits="32", nchans=str(len(values))).save(path)
+    sigproc.write_in_order(rows.select(F.col(order).alias("t"), F.array(*values).alias("spec")), head, 32, len(values), path)
 
 
 def _inf_beside(header: ObsHeader, path: str) -> None:

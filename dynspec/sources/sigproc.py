@@ -11,12 +11,13 @@ import glob
 import math
 import os
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -296,55 +297,64 @@ class FilReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    part: str
-    first: int
-    bytes: int
+    samples: int
 
 
 class FilWriter(DataSourceArrowWriter):
-    """Parts by task, joined in the order of their samples when all are there.
+    """Every task writes its samples to their own place in one new file, which gets its name when all are there.
 
-    The rows must be range-partitioned and sorted by ``t`` (``write_fil`` does that), one record at a time.
+    A place follows from the sample's number, so no byte passes through the driver, and a task that runs again writes the same bytes over. The rows must be range-partitioned at whole bytes and
+    sorted by ``t`` (``write_in_order`` does that), one record at a time.
     """
 
     def __init__(self, options: dict) -> None:
         self.path = _files(options["path"])[0]
+        self.made = f"{self.path}.{options['run']}.new"
         self.header = bytes.fromhex(options["header"])
-        self.nbits = int(options["nbits"])
-        self.nchans = int(options["nchans"])
+        self.nbits, self.nchans = int(options["nbits"]), int(options["nchans"])
+        self.first, self.count = int(options["first"]), int(options["count"])
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        import uuid
+        step = 8 // math.gcd(8, self.nchans * self.nbits)
+        rest, at, done = np.zeros((0, self.nchans)), None, 0
+        with os.fdopen(os.open(self.made, os.O_RDWR | os.O_CREAT, 0o644), "r+b") as f:
+
+            def put(x: np.ndarray) -> None:
+                f.seek(len(self.header) + at * self.nchans * self.nbits // 8)
+                f.write(bits.encode(x.ravel(), self.nbits))
 
-        part, first, size = f"{self.path}.{uuid.uuid4().hex}.part", -1, 0
-        with open(part, "wb") as f:
             for b in batches:
-                if len(b) and first < 0:
-                    first = b.column("t")[0].as_py()
-                spec = b.column("spec")
-                x = np.asarray(spec.flatten().to_numpy(zero_copy_only=False), float)
+                if not len(b):
+                    continue
+                t = b.column("t").to_numpy() - self.first
+                at = int(t[0]) if at is None else at
+                x = np.asarray(b.column("spec").flatten().to_numpy(zero_copy_only=False), float)
                 if len(x) != len(b) * self.nchans:
                     raise ValueError("a sample has another number of channels than the header")
+                if t[0] != at + len(rest) or (np.diff(t) != 1).any():
+                    raise ValueError("samples are missing or repeated")
                 if self.nbits < 32:
                     x = np.clip(np.rint(x), 0, 2**self.nbits - 1)
-                size += f.write(bits.encode(x, self.nbits))
-        return Written(part, first, size)
+                x = np.concatenate([rest, x.reshape(-1, self.nchans)])
+                whole = len(x) // step * step
+                put(x[:whole])
+                rest, at, done = x[whole:], at + whole, done + len(b)
+            if len(rest):  # only at the end of the file: filled up to a whole byte
+                put(np.pad(rest.ravel(), (0, -rest.size % max(1, 8 // self.nbits))))
+        return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        parts = sorted((m for m in messages if m is not None), key=lambda m: m.first)
-        with open(self.path + ".new", "wb") as out:
-            out.write(self.header)
-            for m in parts:
-                with open(m.part, "rb") as f:
-                    while block := f.read(1 << 22):
-                        out.write(block)
-        os.replace(self.path + ".new", self.path)
-        self.abort(messages)
+        if sum(m.samples for m in messages if m is not None) != self.count:
+            self.abort(messages)
+            raise ValueError("samples are missing or repeated")
+        with open(self.made, "r+b" if os.path.exists(self.made) else "w+b") as f:
+            f.write(self.header)
+            f.truncate(len(self.header) + (self.count * self.nchans * self.nbits + 7) // 8)
+        os.replace(self.made, self.path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.part):
-                os.remove(m.part)
+        if os.path.exists(self.made):
+            os.remove(self.made)
 
 
 class FilSource(DataSource):
@@ -399,9 +409,16 @@ def _whole_bytes(paths: str | Sequence[str], start: int) -> int:
     return base + (start - base) // step * step
 
 
-def write_fil(spectra, header: ObsHeader, path: str) -> None:
+def write_in_order(rows: DataFrame, header: bytes, nbits: int, nchans: int, path: str) -> None:
+    """``rows(t, spec)``, whose numbers have no gaps, as one file after ``header``. Partitions begin at every eighth sample, and so at whole bytes."""
+    register(rows.sparkSession)
+    ends = rows.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    first, count = (ends.low, ends.high - ends.low + 1) if ends.low is not None else (0, 0)
+    ordered = rows.select("t", "spec").repartitionByRange(F.floor((F.col("t") - first) / 8)).sortWithinPartitions("t")
+    options = {"header": header.hex(), "nbits": nbits, "nchans": nchans, "first": first, "count": count, "run": uuid.uuid4().hex}
+    ordered.write.format("fil").mode("append").options(**{k: str(v) for k, v in options.items()}).save(path)
+
+
+def write_fil(spectra: DataFrame, header: ObsHeader, path: str) -> None:
     """One file of all samples, in order."""
-    register(spectra.sparkSession)
-    ordered = spectra.select("t", "spec").repartitionByRange("t").sortWithinPartitions("t")
-    raw = encode_header(from_header(header)).hex()
-    ordered.write.format("fil").mode("append").options(header=raw, nbits=str(header.nbits), nchans=str(header.nchans)).save(path)
+    write_in_order(spectra, encode_header(from_header(header)), header.nbits, header.nchans, path)
