@@ -5,7 +5,7 @@ of 256 codewords, so that a list of near copies is coded as finely, for its size
 
 1. its ``NEAR`` nearest lists are searched; the score of the ``k + 1``-th best found there is a score to beat;
 2. so are all other lists that can hold a better one. A list can if its centroid's score and as much of its spread as one of
-   ``n`` normal values is above, but for ``MISSED`` of the nearest on average, reach the score to beat: few lists where vectors have clusters, most where they have none.
+   ``n`` normal values is above, but for ``MISSED`` of the nearest on average (a bound; measured far less), reach the score to beat: few lists where vectors have clusters, most where they have none.
 
 Searching a list scores its codes with a table of the query's products with all codewords (asymmetric distances), and then exactly, on the original vectors, the entries whose
 approximate score comes within ``SURE`` standard errors of the score to beat. What a code leaves out is kept as its product with the centroid, which corrects the approximate score, and
@@ -39,8 +39,8 @@ MAX_TRAINED = 1 << 16
 MAX_LISTS = 2048
 PARTS = 32
 ROUNDS = 10
-NEAR = 0.02
-MISSED = 0.02
+NEAR = 0.1
+MISSED = 1.2
 SURE = 4
 #: Against rounding of approximate scores; only ever lets more entries through to be scored exactly.
 MARGIN = 1e-6

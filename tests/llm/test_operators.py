@@ -818,3 +818,55 @@ def test_components_of_a_hub_and_a_chain(spark):
     counts = {r.root: r["count"] for r in got.groupBy("root").count().collect()}
     assert counts == {0: 200_000, 500_000: 600}
     assert components(hub.where("false")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_similar_recall_on_tables(spark, sf):
+    """Every pair of texts at 0.8 or more, found by counting shared shingles of all pairs, is in one component, and no others are."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF.replace('0.001', sf)}/documents.parquet").collect()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()) else set() for _, t in rows]
+    holds, up = {}, list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def join(x, y):
+        a, b = root(x), root(y)
+        up[max(a, b)] = min(a, b)
+
+    texts = {}
+    for x, s in enumerate(sets):
+        join(x, texts.setdefault(rows[x][1] or "", x))
+        common = Counter(y for g in s for y in holds.get(g, ()))
+        for y, n in common.items():
+            if n >= 0.8 * (len(s) + len(sets[y]) - n):
+                join(x, y)
+        for g in s:
+            holds.setdefault(g, []).append(x)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        least[root(x)] = min(least.get(root(x), i), i)
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: least[root(x)] for x, (i, _) in enumerate(rows)}
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    rng = random.Random(51)
+    long = words(rng, 200_000, 3000)
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs(spark, [(1, long), (2, long + " end"), (3, "x" * 300_000), (4, "other words")])).collect()}
+    assert got[1][0] == simhash.fingerprint(long) and got[2][1] == 1 and got[3][1] == 3 and got[4][1] == 4
+
+
+def test_mixing_of_very_long_and_clashing(spark):
+    rng = random.Random(52)
+    given = docs(spark, [(1, words(rng, 200_000, 50), "a"), (2, words(rng, 10, 50), "a"), (3, words(rng, 1000, 50), "b")]).selectExpr("*", "7 AS n", "8 AS first", "9 AS target", "10 AS `inner`")
+    found = {r.doc_id: r for r in mixing.mix(given).collect()}
+    assert found[1]._mix_size == 200_000 and found[3].first == 8 and set(found) == {1, 2, 3}
+    assert mixing.emitted(mixing.mix(given)).columns == given.columns
+
+
+def test_secrets_of_no_documents(spark):
+    assert secrets.find_secrets(docs(spark, [])).count() == 0
