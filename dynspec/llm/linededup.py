@@ -24,8 +24,6 @@ MIN_SITES = 5
 MIN_CHARS = 20
 LOG2_REGISTERS = 12
 MARGIN = 4
-#: Most bytes of the table of lines to remove that is broadcast, and about how many a row takes.
-BROADCAST_BYTES, ROW_BYTES = 32 << 20, 512
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, site: str, min_chars: int) -> DataFrame:
@@ -54,10 +52,7 @@ def remove_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     found = stored(boilerplate(lines, min_sites), "boilerplate")
     gone = lines.join(found, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("id").alias("_line_id"), F.col("ta").alias("_line_a"), F.col("tb").alias("_line_b")).agg(F.collect_set("at").alias("_line_at"))
-    gone = stored(gone, "lines-gone")
-    size = gone.agg(F.count("*"), F.sum(F.size("_line_at"))).first()
-    if size[0] * ROW_BYTES + (size[1] or 0) * 4 <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)  # by its measured size; texts stay where they are
+    gone = stored(gone, "lines-gone")  # so that both sides of the join with the texts are plain exchanges
     rows = docs.drop(removed).withColumn("_line_key", text_key(F.col(text)))
     same = F.col(doc_id).eqNullSafe(F.col("_line_id")) & (F.col("_line_key.a") == F.col("_line_a")) & (F.col("_line_key.b") == F.col("_line_b"))
     met = rows.join(gone, same, "left")
