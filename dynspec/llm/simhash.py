@@ -5,7 +5,8 @@ differ. Candidates come from an inverted index over byte positions: fingerprints
 share at least ``8 - d`` of their 8 positional bytes, whichever those are. Postings of single bytes would hold a 256th of all
 rows each, so a posting's key is a set of positions with their bytes: the positions fall into ``d + 2`` blocks, and any two of them
 make a key; of linked fingerprints at least two blocks agree. In each posting list the shared positional bytes of every pair are
-tallied, pairs under the guaranteed minimum go, and the rest are verified bit by bit.
+tallied, pairs under the guaranteed minimum go, and the rest are verified bit by bit. (A pair that passes the bit check has that minimum in any case: the tally is the
+cheaper test before it, and the keys of several bytes take the place of counting over lists of single ones.)
 
 Equal fingerprints are one entry of the index, so copies make no pairs. Lists above ``LIST_LIMIT`` entries are not
 enumerated: their fingerprints are indexed by themselves and their 64 one-bit neighbours instead, which is exact for distances up to 2,
