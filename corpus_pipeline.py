@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dynspec.llm import decontaminate, linededup, mixing, quality, similar
-from dynspec.llm.common import stored, table, text_key
+from dynspec.llm.common import shuffles_freed, stored, table, text_key
 
 KEEP_FROM = 0.5
 
@@ -41,13 +41,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one document with the smallest id, once; rows without an id stay as they are. Where an id has several texts, each group of them keeps one."""
-    names = [_free(docs, c) for c in ("_id", "_a", "_b", "_key")]
-    found = similar.similar_documents(docs).where(F.col("doc_id") == F.col("component_id"))
-    kept = found.groupBy("doc_id", "root").agg(F.min(F.struct("a", "b")).alias("k")).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "k.a", "k.b"), names)])
-    key = names[3]
-    keyed = docs.withColumn(key, text_key(F.col("text")))
-    same = (F.col("doc_id") == F.col(names[0])) & (F.col(f"{key}.a") == F.col(names[1])) & (F.col(f"{key}.b") == F.col(names[2]))
-    once = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
+    key = ["doc_id", _free(docs, "_a"), _free(docs, "_b")]
+    with shuffles_freed(spark):
+        found = similar.similar_documents(docs).where(F.col("doc_id") == F.col("component_id"))
+        kept = found.groupBy("doc_id", "root").agg(F.min(F.struct("a", "b")).alias("k"))
+        kept = stored(kept.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "k.a", "k.b"), key)]), "kept")
+    of = text_key(F.col("text"))
+    keyed = docs.withColumns({key[1]: of["a"], key[2]: of["b"]})
+    once = keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)  # one exchange of texts serves both
     return once.unionAll(docs.where(F.col("doc_id").isNull()))
 
 

@@ -10,7 +10,9 @@ Texts link whose sets of ``words``-word shingles (as 64-bit hashes) have a Jacca
    before what they share: of a group of edited copies the one nearest to the original. That settles such groups in a time linear in the list. Then entries that do not yet belong together meet, dealt out over many tasks
    and only where their sizes allow it: a set of ``n`` shingles with the key at place ``i`` can only be similar to sets of ``similarity * n`` to ``(n - i) * (1 + similarity) / similarity - n``, so of two sets the smaller has the key
    near its start (at ``front``). Lists without such an entry have no pairs;
-4. pairs that are left are verified on their whole shingle sets.
+4. of each set the parity of its shingles in buckets (a bit each, about one a shingle) is compared first: buckets of unlike parity are no more than the shingles that only one set has, so pairs
+   with too many go, and no similar pair does;
+5. pairs that are left are verified on their whole shingle sets.
 
 Defined results: equal texts are one entry and always together; texts without words link only to equal ones; rows with a null id are kept apart from others
 unless their text has another id; repeated rows come back as often as they went in; an empty table gives an empty one; only the id and text are read.
@@ -18,7 +20,7 @@ unless their text has another id; repeated rows come back as often as they went
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import ceil
 
 import numpy as np
@@ -114,6 +116,27 @@ def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.nd
     return shingles[np.argsort(rank, kind="stable")[:take]]
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """The size of a set, then a bit for each of as many buckets (the next power of two): whether an odd number of shingles falls into it."""
+    buckets = max(64, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.int64(len(shingles)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sets can be similar enough by their ``parities``, as 64-bit words. Halves of the one with more buckets are laid on each other."""
+    n, (p, q) = int(p[0]) + int(q[0]), sorted((p[1:], q[1:]), key=len)
+    while len(p) < len(q):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum()) <= n * (1 - similarity) / (1 + similarity) + EPSILON
+
+
+def are_similar(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sets are similar enough."""
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return common >= similarity * (len(p) + len(q) - common)
+
+
 def can_reach(similarity: float, n: Column, i: Column, m: Column, j: Column) -> Column:
     """Whether sets of n and m shingles whose first common one is at places i and j can be similar enough."""
     return F.least(n - i, m - j) >= (n + m) * (similarity / (1 + similarity)) - EPSILON
@@ -167,29 +190,31 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
             columns = [np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64), np.repeat(nodes, n), np.repeat(sizes, n), at.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [x.tobytes() for x in shingle_sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "h"])
-
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column("p"), batch.column("q"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common >= similarity * (len(p) + len(q) - common))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+    def judged(pairs: DataFrame, form: Callable[[np.ndarray], bytes], judge: Callable[[np.ndarray, np.ndarray, float], bool], name: str) -> DataFrame:
+        """The pairs ``(x, y)`` that ``judge`` keeps by the ``form`` of both sets."""
+
+        def forms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [form(x) for x in shingle_sets(batch.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "h"])
+
+        def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = zip(batch.column("p"), batch.column("q"), strict=True)
+                keep = [judge(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair), similarity) for pair in both]
+                yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+        wanted = stored(pairs.select(F.col("x").alias("node")).unionAll(pairs.select("y")).distinct(), "wanted", 2 * pairs.count())
+        formed = stored(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(forms, "node long, h binary"), name)
+        whole = pairs.join(formed.select(F.col("node").alias("x"), F.col("h").alias("p")), "x").join(formed.select(F.col("node").alias("y"), F.col("h").alias("q")), "y")
+        found = stored(whole.select("x", "y", "p", "q").mapInArrow(kept, "x long, y long"), f"{name}-kept")
+        drop_stored(formed)
+        return found
 
     def verified(pairs: DataFrame) -> DataFrame:
         likely = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "likely")
-        rows = likely.count()
-        wanted = stored(likely.select(F.col("x").alias("node")).unionAll(likely.select("y")).distinct(), "wanted", 2 * rows)
-        hashed = stored(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, h binary"), "shingle-sets")
-        whole = likely.join(hashed.select(F.col("node").alias("x"), F.col("h").alias("p")), "x").join(hashed.select(F.col("node").alias("y"), F.col("h").alias("q")), "y")
-        found = stored(whole.select("x", "y", "p", "q").mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b")), "verified")
-        drop_stored(hashed)
-        return found
+        close = judged(likely, parities, may_be_similar, "parities")
+        return judged(close, np.ndarray.tobytes, are_similar, "shingle-sets").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     def near(sides: DataFrame) -> DataFrame:
         return sides.where(can_reach(similarity, F.col("xn"), F.col("xat"), F.col("yn"), F.col("yat"))).select("x", "y")
@@ -199,7 +224,7 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
     postings = stored(texts.select("node", "text").mapInArrow(post, "key long, node long, n int, at int"), "postings")
     front = most(similarity, F.col("n"), F.col("at")) >= F.col("n")
-    lists = postings.groupBy("key").agg(F.count("*").alias("size"), F.max(front).alias("open")).where("size > 1 AND open").drop("open")
+    lists = stored(postings.groupBy("key").agg(F.count("*").alias("size"), F.max(front).alias("open")).where("size > 1 AND open").drop("open"), "keys")
     met = stored(postings.join(lists, "key"), "lists")
     drop_stored(postings)
     short, long = met.where(F.col("size") <= LIST_LIMIT).drop("size"), met.where(F.col("size") > LIST_LIMIT).drop("size")
@@ -226,5 +251,6 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     roots = components(every, every.count())
     rooted = texts.select("a", "b", "first", "node").join(roots, "node", "left").select("a", "b", "first", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.select("a", "b", "root").join(ids, "root").select("a", "b", "root", "component_id")
+    of = stored(rooted.select("a", "b", "root").join(ids, "root").select("a", "b", "root", "component_id"), "classes")
+    drop_stored(texts)
     return rows.select("doc_id", "a", "b").join(of, ["a", "b"], "left")

@@ -2,13 +2,15 @@
 
 import os
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from dynspec.llm import linededup, quality  # noqa: E402
+from dynspec.llm import linededup, quality, similar  # noqa: E402
 from tests.llm.test_operators import brute_hits, brute_lines, docs, words  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -82,6 +84,51 @@ def test_near_duplicate_stage_keeps_each_text_of_an_id(spark, sf_dir):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(rows)
 
 
+def test_whole_shingle_sets_are_made_for_few_pairs(spark, sf_dir, monkeypatch):
+    rng = random.Random(8)
+    shared = [words(rng, 180, 5000) for _ in range(20)]
+    rows = [(10 * g + c, f"{x} {words(rng, 120, 5000)}") for g, x in enumerate(shared) for c in range(3)]
+    rows.append((900, f"{rows[0][1]} and"))
+    made, keep = {}, similar.stored
+
+    def counted(df, name, *args):
+        out = keep(df, name, *args)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(similar, "stored", counted)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), sf_dir[0])
+    assert {r.doc_id for r in out.collect()} == {i for i, _ in rows} - {900}
+    assert made["likely"] > 10 and made["shingle-sets"] == 2
+
+
+def test_parities_lose_no_similar_pair():
+    rng = np.random.default_rng(9)
+    for n in [1, 2, 5, 31, 64, 65, 100, 127, 130, 500, 1000, 1025, 1200, 5000]:
+        for similarity in (0.5, 0.8, 1.0):
+            for _ in range(20):
+                p = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+                kept = p[rng.random(len(p)) < rng.uniform(0.6, 1)]
+                q = np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, rng.integers(0, n // 5 + 1), np.uint64)]))
+                if len(q) and similar.are_similar(p, q, similarity):
+                    assert similar.may_be_similar(*(np.frombuffer(similar.parities(x), np.uint64) for x in (p, q)), similarity)
+    unlike = [np.unique(rng.integers(0, 1 << 64, 900, np.uint64)) for _ in range(2)]
+    assert not similar.may_be_similar(*(np.frombuffer(similar.parities(x), np.uint64) for x in unlike), 0.8)
+
+
+def test_near_duplicate_stage_leaves_no_shuffle_files(spark, sf_dir):
+    rng = random.Random(10)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    before = shuffled()
+    corpus_pipeline.near_duplicate_stage(spark, docs(spark, [(i, words(rng, 60, 5000)) for i in range(60)]), sf_dir[0])
+    for _ in range(50):
+        if left := shuffled() - before:
+            time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_stages_of_empty_tables_and_clashing_names(spark, sf_dir):
     rng = random.Random(7)
     plain = docs(spark, [(i, f"{words(rng, 30, 4000)}\n{words(rng, 30, 4000)}", f"s{i % 3}") for i in range(30)] + [(None, None, None), (40, "", "s1"), (41, words(rng, 20_000, 4000), "s1")])
