@@ -13,6 +13,8 @@ from dynspec.llm import decontaminate, linededup, mixing, quality, similar
 from dynspec.llm.common import shuffles_freed, stored, table, text_key
 
 KEEP_FROM = 0.5
+#: Bits in which fingerprints of near-duplicates may differ, as in op3_simhash.
+DISTANCE = 2
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -40,10 +42,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document with the smallest id, once; rows without an id stay as they are. Where an id has several texts, each group of them keeps one."""
+    """Of each group of near-duplicates one document with the smallest id, once; rows without an id stay as they are. Where an id has several texts, each group of them keeps one.
+
+    Texts link whose SimHash fingerprints differ in ``DISTANCE`` bits or fewer, found by the index of ``simhash``, and so do looser copies with a Jaccard similarity of 0.8, which no index of fingerprints finds.
+    """
     key = ["doc_id", _free(docs, "_a"), _free(docs, "_b")]
     with shuffles_freed(spark):
-        found = similar.similar_documents(docs).where(F.col("doc_id") == F.col("component_id"))
+        found = similar.similar_documents(docs, distance=DISTANCE).where(F.col("doc_id") == F.col("component_id"))
         kept = found.groupBy("doc_id", "root").agg(F.min(F.struct("a", "b")).alias("k"))
         kept = stored(kept.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "k.a", "k.b"), key)]), "kept")
     of = text_key(F.col("text"))

@@ -14,7 +14,9 @@ Texts link whose sets of ``words``-word shingles (as 64-bit hashes) have a Jacca
    with too many go, and no similar pair does;
 5. pairs that are left are verified on their whole shingle sets.
 
-Defined results: equal texts are one entry and always together; texts without words link only to equal ones; rows with a null id are kept apart from others
+With a ``distance`` texts also link whose SimHash fingerprints (``simhash.near_duplicates``) differ in so many bits or fewer: that index finds them first, and components are of the links of both kinds.
+
+Defined results: equal texts are one entry and always together; texts without words link only to equal ones (with a ``distance`` all such texts link, as their fingerprint is zero); rows with a null id are kept apart from others
 unless their text has another id; repeated rows come back as often as they went in; an empty table gives an empty one; only the id and text are read.
 """
 
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import drop_stored, small_batches, stored, text_key
 from .components import components
 
@@ -172,12 +175,16 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     return np.stack([keys[order], ranks[order]])
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, distance: int | None = None) -> DataFrame:
     """``(doc_id, a, b, root, component_id)`` of every row; a and b are the text's key, root is a number of the component in this run (null for a text that only null ids have)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("k"), F.col(text).cast("string").alias("text")).select("doc_id", "k.a", "k.b", "text")
     once = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.first("text").alias("text")).where(F.col("first").isNotNull())
     texts = stored(once.withColumn("node", F.monotonically_increasing_id()), "texts")
+    alike = None
+    if distance is not None:
+        marked = simhash.near_duplicates(texts, doc_id="node", distance=distance)
+        alike = stored(marked.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "simhash-links")
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, words))  # bounded by MAX_COMMON
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +236,7 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     drop_stored(postings)
     short, long = met.where(F.col("size") <= LIST_LIMIT).drop("size"), met.where(F.col("size") > LIST_LIMIT).drop("size")
     links = verified(near(side(short, "x").join(side(short, "y"), "key").where("x < y")))
+    links = links.unionAll(alike) if alike is not None else links
 
     first = stored(long.groupBy("key").agg(F.min(F.struct("at", "node", "n")).alias("l")).select("key", F.col("l.node").alias("x"), F.col("l.n").alias("xn"), F.col("l.at").alias("xat")), "first")
     links = stored(links.unionAll(verified(near(side(long, "y").join(first, "key").where("x <> y")))), "links")

@@ -10,7 +10,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from dynspec.llm import linededup, quality, similar  # noqa: E402
+from dynspec.llm import linededup, quality, simhash, similar  # noqa: E402
 from tests.llm.test_operators import brute_hits, brute_lines, docs, words  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +84,32 @@ def test_near_duplicate_stage_keeps_each_text_of_an_id(spark, sf_dir):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(rows)
 
 
+def test_near_duplicate_stage_links_by_fingerprints_and_by_similarity(spark, sf_dir):
+    rng = random.Random(13)
+    rows = []
+    for g in range(8):
+        line = words(rng, 13, 5000)
+        rows += [(100 * g + c, " ".join([line] * 40 + [words(rng, 30, 5000)])) for c in range(3)]  # one fingerprint, unlike sets
+        base = words(rng, 300, 5000).split()
+        rows += [(100 * g + 10 + c, " ".join(base[: 300 - 50 * (c > 0)] + [f"q{g}w{c}"] * (c > 0))) for c in range(2)]  # similar sets, other fingerprints
+        rows.append((100 * g + 20, words(rng, 80, 5000)))
+    rows += [(900, "one two"), (901, "two one"), (902, ""), (903, " \n"), (904, None)]
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(1, len(w))))} for _, t in rows for w in [(t or "").lower().split()]]
+    bits = lambda x, y: ((fps[x] ^ fps[y]) & (2**64 - 1)).bit_count() <= 2
+    alike = lambda x, y: bool(sets[x]) and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    of, kinds = list(range(len(rows))), Counter()
+    for x in range(len(rows)):
+        for y in range(x):
+            kinds[bits(x, y), alike(x, y)] += 1
+            if bits(x, y) or alike(x, y):
+                of = [of[y] if c == of[x] else c for c in of]
+    assert kinds[True, False] >= 24 and kinds[False, True] >= 4
+    want = {min(i for (i, _), c in zip(rows, of) if c == k) for k in of}
+    out = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), sf_dir[0])
+    assert Counter(r.doc_id for r in out.collect()) == Counter(want)
+
+
 def test_whole_shingle_sets_are_made_for_few_pairs(spark, sf_dir, monkeypatch):
     rng = random.Random(8)
     shared = [words(rng, 180, 5000) for _ in range(20)]
